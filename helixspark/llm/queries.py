@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm import organisms, survivor
+from helixspark.functions.keys import gene_key
+from helixspark.llm import organisms, spans, survivor
 from helixspark.tables import table
 
 
@@ -40,6 +41,19 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return organisms.report(_organisms(spark, d), "organism", "species_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report)}
+def _spans(spark: SparkSession, d: str) -> spans.SharedSpans:
+    letters = F.upper(F.regexp_replace("sequence", r"\s+", ""))
+    return spans.SharedSpans(table(spark, d, "genes").select("id", gene_key(F.col("gene_id"), F.col("symbol")).alias("key"), letters.alias("text")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).pairs()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).shares()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report, p7_found, p7_shares)}
 
 ORACLE: dict[str, str] = {}
