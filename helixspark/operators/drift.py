@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import jsonx
+from helixspark.session import checkpoint
 
 KINDS = ["string", "number", "boolean", "array", "object"]
 #: Loads per block when a feed is put in order; only block edges cross blocks.
@@ -115,7 +116,7 @@ def changes(rows: DataFrame, loads: DataFrame, key: Column, record: str = "recor
     """
     fields = load_fields(rows, record)
     order = previous_loads(loads, rows)
-    raw = footer_changes(fields, order)
+    raw = checkpoint(footer_changes(fields, order))  # a few rows per load, used four times below
     moved = renames(rows, raw, key, record)
     gone = moved.select("load_id", F.explode(F.array(
         F.struct(F.col("new_name").alias("field_name"), F.lit("added").alias("change_kind")),
@@ -174,8 +175,8 @@ def unified(spark: SparkSession, rows: DataFrame, loads: DataFrame, key: Column,
     give null; columns that would clash with ``id`` and ``load_id`` get the
     prefix ``record_``.
     """
-    fields = load_fields(rows, record)
-    moved = renames(rows, footer_changes(fields, previous_loads(loads, rows)), key, record)
+    fields = checkpoint(load_fields(rows, record))
+    moved = checkpoint(renames(rows, footer_changes(fields, previous_loads(loads, rows)), key, record))
     alias = alias_table(moved, fields)
     kinds: dict[str, dict[str, int]] = {}
     for r in fields.groupBy("field_name", "kind").agg(F.sum("n_rows").alias("n")).collect():
