@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.functions.keys import gene_key
-from helixspark.llm import organisms, spans, survivor
+from helixspark.llm import contamination, organisms, spans, survivor, truncation
 from helixspark.tables import table
 
 
@@ -54,6 +54,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).shares()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report, p7_found, p7_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaked_items(p9_found(spark, d), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report, p7_found, p7_shares, p9_found, p9_items, p10_found, p10_rates)}
 
 ORACLE: dict[str, str] = {}

@@ -42,21 +42,25 @@ def _sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return op(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def winnow(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letter_values(codes: np.ndarray) -> np.ndarray:
+    """A random 64-bit value for each letter, the same everywhere."""
+    return np.random.default_rng(7).integers(1, 2**63, 1 << 16, dtype=np.uint64)[codes]
+
+
+def winnow(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of many texts laid end to end: ``(text number, position, hash)``.
 
-    ``codes`` holds the letters as small integers.  Of each ``w`` neighbouring
+    ``values`` holds a 64-bit value for each letter, or word.  Of each ``w`` neighbouring
     hashes of ``k`` letters the least are kept, so texts that share ``k + w - 1``
     letters share an anchor.
     """
-    n = len(codes)
+    n = len(values)
     if n < k + w - 1:
         none = np.empty(0, dtype=np.int64)
         return none, none, none
-    spread = np.random.default_rng(7).integers(1, 2**63, 1 << 16, dtype=np.uint64)
     with np.errstate(over="ignore"):
         prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(spread[codes] * _powers(_BASE, n), out=prefix[1:])
+        np.cumsum(values * _powers(_BASE, n), out=prefix[1:])
         h = (prefix[k:] - prefix[:-k]) * _powers(_INVERSE, n - k + 1)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -82,7 +86,7 @@ def anchors(texts: DataFrame, k: int, w: int) -> DataFrame:
                 raw = [t.encode("utf-16-le", "surrogatepass") for t in batch.column("text").to_pylist()]
                 lengths = np.array([len(r) // 2 for r in raw], dtype=np.int64)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                n, pos, h = winnow(np.frombuffer(b"".join(raw), dtype="<u2"), starts, lengths, k, w)
+                n, pos, h = winnow(letter_values(np.frombuffer(b"".join(raw), dtype="<u2")), starts, lengths, k, w)
                 take = pa.array(n)
                 cols = [pa.array(h), batch.column("cid").take(take), pa.array(pos.astype(np.int32)), batch.column("klo").take(take), batch.column("khi").take(take)]
                 yield pa.RecordBatch.from_arrays(cols, names=["h", "cid", "pos", "klo", "khi"])
