@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.functions.keys import gene_key
-from helixspark.llm import contamination, organisms, spans, survivor, truncation
+from helixspark.llm import contamination, organisms, packing, spans, survivor, truncation
 from helixspark.tables import table
 
 
@@ -54,6 +54,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).shares()
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return packing.pack(packing.sized(documents), n_items=documents.count())
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -70,6 +79,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report, p7_found, p7_shares, p9_found, p9_items, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report, p7_found, p7_shares, p8_packed, p8_fill, p9_found, p9_items, p10_found, p10_rates)}
 
 ORACLE: dict[str, str] = {}
