@@ -109,19 +109,32 @@ def gc3(s: Column) -> Column:
     return F.when(F.length(s) >= 3, count_of(thirds, "GC") / F.floor(F.length(s) / 3))
 
 
+def words(s: Column, k: int, frame: int = 0) -> Column:
+    """Words of ``k`` letters laid end to end from ``frame`` on, a shorter rest left out; linear in the length."""
+    return F.regexp_extract_all(F.substr(s, F.lit(frame + 1)), F.lit(f"(?s)(.{{{k}}})"), F.lit(1))
+
+
 def codons(s: Column, frame: int = 0) -> Column:
-    return F.transform(starts_of(s, 3, 3, frame + 1), lambda i: F.substring(s, i, F.lit(3)))
+    return words(s, 3, frame)
 
 
 def amino_acids(s: Column, frame: int = 0) -> Column:
-    """Translation of all codons of a frame, stops as ``*``, unknown codons as ``?``."""
-    table = _map(schema.CODONS)
-    return F.array_join(F.transform(codons(s, frame), lambda c: F.coalesce(F.element_at(table, c), F.lit("?"))), "")
+    """Translation of all codons of a frame, stops as ``*``, unknown codons as ``?``.
+
+    A codon's place in one constant text gives its amino acid's place in
+    another: no map is built or searched per codon.
+    """
+    listed, code = F.lit("".join(f",{c}" for c in schema.CODONS)), F.lit("".join(schema.CODONS.values()))
+
+    def amino(c: Column) -> Column:
+        at = F.position(c, listed)
+        return F.when(at > 0, F.substring(code, (at + 2) / 4, F.lit(1))).otherwise("?")
+
+    return F.array_join(F.transform(codons(s, frame), amino), "")
 
 
-def translate(s: Column, frame: int = 0) -> Column:
-    """``struct(protein, stop_position, status)``: translation up to the first stop, which is left out; stops count codons from 0."""
-    whole = amino_acids(s, frame)
+def up_to_stop(whole: Column) -> Column:
+    """``struct(protein, stop_position, status)`` of a translation: up to the first stop, which is left out; stops count codons from 0."""
     stop = F.locate("*", whole)
     return F.struct(
         F.substring_index(whole, "*", 1).alias("protein"),
@@ -130,9 +143,9 @@ def translate(s: Column, frame: int = 0) -> Column:
 
 
 def six_frames(s: Column) -> Column:
-    """Array of ``struct(frame, protein)`` of the three frames of both strands."""
-    back = reverse_complement(s)
-    return F.array(*[F.struct(F.lit(f"{sign}{f + 1}").alias("frame"), translate(x, f)["protein"].alias("protein")) for sign, x in (("+", s), ("-", back)) for f in range(3)])
+    """Array of ``struct(frame, bases)``: what each of the three frames of both strands reads."""
+    strands = (("+", s), ("-", reverse_complement(s)))
+    return F.array(*[F.struct(F.lit(f"{sign}{f + 1}").alias("frame"), F.substr(x, F.lit(f + 1)).alias("bases")) for sign, x in strands for f in range(3)])
 
 
 def has_start(s: Column) -> Column:
@@ -161,8 +174,8 @@ def taxonomy(organism: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """Distinct words of ``k`` letters."""
-    return F.array_distinct(F.transform(starts_of(s, k), lambda i: F.substring(s, i, F.lit(k))))
+    """Distinct words of ``k`` letters: those of each of the ``k`` offsets laid end to end."""
+    return F.array_distinct(F.flatten(F.array(*[words(s, k, o) for o in range(k)])))
 
 
 def kmer_code(word: Column, alphabet: str) -> Column:
