@@ -88,6 +88,7 @@ def coverage(stats: Column, query_length: Column) -> Column:
 
 
 def confidence(cover: Column, gap_percent: Column, ident: Column) -> Column:
-    """0 to 100 from coverage (40 %), gaps (35 %) and identity (25 %)."""
+    """0 to 100 from coverage (40 %), gaps (35 %) and identity (25 %); null if any of them is."""
     score = F.least(F.lit(100.0), cover * 1.1) * 0.4 + F.greatest(F.lit(0.0), 100 - gap_percent * 5) * 0.35 + ident * 0.25
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))
+    known = cover.isNotNull() & gap_percent.isNotNull() & ident.isNotNull()  # least and greatest would pass over nulls
+    return F.when(known, F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)))
