@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.plans import catalogue, composition, data_problems, patterns
+from helixspark.plans import catalogue, composition, data_problems, patterns, similarity
 
-MODULES = [data_problems, composition, patterns, catalogue]
+MODULES = [data_problems, composition, patterns, catalogue, similarity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
