@@ -181,7 +181,7 @@ def kmers(s: Column, k: int) -> Column:
 def kmer_code(word: Column, alphabet: str) -> Column:
     """Positional code of a word in the base of its alphabet; null if it holds another letter."""
     base = len(alphabet)
-    digits = F.transform(F.split(word, ""), lambda c: (F.locate(c, F.lit(alphabet)) - 1).cast("bigint"))
+    digits = F.transform(F.split(word, ""), lambda c: (F.position(c, F.lit(alphabet)) - 1).cast("bigint"))
     valid = F.forall(digits, lambda x: x >= 0)
     return F.when(valid, F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, x: a * base + x))
 
