@@ -103,12 +103,13 @@ class Matcher:
             return []
         text = " " + " ".join(words) + " "
         found = sorted(((end - size + 1, -size, ids) for end, (size, ids) in self.automaton.iter(text)), key=lambda x: (x[1], x[0]))
-        taken: list[tuple[int, int, frozenset[int]]] = []
+        used, taken = bytearray(len(text)), []
         for start, size, ids in found:  # longest first; neighbours may share the blank between them
-            end = start - size
-            if all(end - 1 <= s or start >= e - 1 for s, e, _ in taken):
-                taken.append((start, end, ids))
-        return [ids for _, _, ids in sorted(taken, key=lambda x: x[0])]
+            inside = slice(start + 1, start - size - 1)
+            if not any(used[inside]):
+                used[inside] = b"\x01" * (-size - 2)
+                taken.append((start, ids))
+        return [ids for _, ids in sorted(taken, key=lambda x: x[0])]
 
     def alike(self, token: str) -> list[tuple[str, float]]:
         """Words of the list like ``token``, with their similarity."""
