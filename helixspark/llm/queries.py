@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.functions.keys import gene_key
+from helixspark.functions.keys import STAND_INS, gene_key
 from helixspark.llm import contamination, organisms, packing, spans, survivor, truncation
+from helixspark.plans.base import SQL_KEY
 from helixspark.tables import table
 
 
@@ -81,4 +82,24 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report, p7_found, p7_shares, p8_packed, p8_fill, p9_found, p9_items, p10_found, p10_rates)}
 
-ORACLE: dict[str, str] = {}
+_STAND_INS = ", ".join(f"'{w}'" for w in STAND_INS)
+_BARE = r"regexp_replace(sequence, '\s+', '', 'g')"
+
+ORACLE = {
+    "p3_found": rf"""
+WITH src AS (SELECT lower(trim(source)) AS sp, trust_rank FROM sources UNION SELECT lower(trim(label)), trust_rank FROM sources),
+g AS (SELECT id, {SQL_KEY} AS k, lower(trim(source)) AS sp, date_added, description, external_links,
+ CASE WHEN ltrim(annotations) LIKE '"%' THEN json_extract_string(annotations, '$') ELSE annotations END AS a FROM genes),
+c AS (SELECT id, k, sp, date_added, 'description' AS f, description AS v FROM g
+ UNION ALL SELECT id, k, sp, date_added, 'annotations.' || n, json_extract_string(a, '$."' || n || '"') FROM (SELECT *, unnest(json_keys(a)) AS n FROM g WHERE a LIKE '{{%')
+ UNION ALL SELECT id, k, sp, date_added, 'external_links.' || e.key, e.value FROM (SELECT *, unnest(map_entries(external_links)) AS e FROM g)),
+v AS (SELECT c.*, trust_rank FROM c LEFT JOIN src USING (sp) WHERE v IS NOT NULL AND lower(trim(v)) NOT IN ('', {_STAND_INS}) AND NOT regexp_full_match(trim(v), '\[\s*\]|\{{\s*\}}')),
+n AS (SELECT k FROM g WHERE k IS NOT NULL GROUP BY k HAVING count(*) >= 2)
+SELECT k AS gene_key, f AS field_name, id FROM v WHERE k IN (SELECT k FROM n)
+QUALIFY row_number() OVER (PARTITION BY k, f ORDER BY coalesce(trust_rank, 2147483647), date_added DESC NULLS LAST, id DESC) = 1""",
+    "p7_found": f"""
+WITH g AS (SELECT id, {SQL_KEY} AS k, upper({_BARE}) AS s FROM genes WHERE length({_BARE}) >= 64 AND {SQL_KEY} IS NOT NULL),
+w AS (SELECT DISTINCT id, k, hash(substring(s, i, 64)) AS x, substring(s, i, 64) AS t FROM (SELECT *, unnest(generate_series(1, length(s) - 63)) AS i FROM g)),
+m AS (SELECT x FROM w GROUP BY x HAVING min(k) <> max(k)), f AS (SELECT w.* FROM w JOIN m USING (x))
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.x = b.x AND a.t = b.t AND a.id < b.id AND a.k <> b.k""",
+}
