@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixspark import schema
 from helixspark.functions import protein, seq
 from helixspark.plans.base import SQL_DNA, SQL_LETTERS, SQL_PROTEIN, dna, letters, proteins, spread_dna, sql_count, sql_map, sql_reverse_complement
+from helixspark.sinks import writers
 from helixspark.tables import table
 
 def S() -> Column:
@@ -122,9 +123,27 @@ def residue_groups(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy(F.coalesce(protein.group(F.col("residue")), F.lit("other")).alias("residue_group")).agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def interpretation(spark: SparkSession, d: str) -> DataFrame:
+    """INT-03, INT-04, INT-11: classes of a DNA sequence by length, GC content and signs of coding."""
+    gc = 100 * seq.gc_fraction(S())
+    coding = F.when(seq.has_start(S()) & seq.has_stop(S()), "high").when(seq.has_start(S()), "medium").otherwise("low")
+    return dna(spark, d).select("id", seq.length_class(F.length("s")).alias("length_class"), seq.gc_category(gc).alias("gc_category"), coding.alias("coding_potential"))
+
+
+def metrics(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-02, and the series behind the charts: base counts as ``(id, Metric, Value)``."""
+    return writers.metrics(nucleotide_distribution(spark, d), "id")
+
+
+def mean_gc(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-09: sequences and mean G + C content per source, as exact sums."""
+    rows = dna(spark, d, "source").select(F.lower(F.trim("source")).alias("source"), seq.count_of(S(), "GC").alias("gc"), F.length("s").alias("n"))
+    return rows.groupBy("source").agg(F.count("*").alias("n_sequences"), F.sum("gc").cast("bigint").alias("gc"), F.sum("n").cast("bigint").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     gc_profile, nucleotide_distribution, sequence_statistics, codon_usage, translate_frame0, six_frames, reverse_complement, melting_temperature,
-    sha_prefix, signature5, detect_type, validate, clean, taxonomy, amino_acid_distribution, protein_stats, isoelectric_point, residue_groups)}
+    sha_prefix, signature5, detect_type, validate, clean, taxonomy, amino_acid_distribution, protein_stats, isoelectric_point, residue_groups, interpretation, metrics, mean_gc)}
 
 _CODON_SQL = sql_map(schema.CODONS, "code")
 _AA = "ACDEFGHIKLMNPQRSTVWYBXZ*"
@@ -157,6 +176,12 @@ _STRICT = f"""CASE WHEN c = '' THEN 'unknown' WHEN regexp_full_match(c, '[{schem
 _C = r"upper(regexp_replace(sequence, '[^A-Za-z*]', '', 'g'))"
 
 ORACLE = {
+    "interpretation": f"""
+SELECT id, CASE WHEN length(s) < 100 THEN 'short_fragment' WHEN length(s) < 500 THEN 'medium_fragment' WHEN length(s) < 2000 THEN 'gene_length' ELSE 'large_sequence' END AS length_class,
+ CASE WHEN 100 * ({sql_count('GC')} / length(s)) >= 60 THEN 'GC-rich' WHEN 100 * ({sql_count('GC')} / length(s)) <= 35 THEN 'AT-rich' ELSE 'balanced' END AS gc_category,
+ CASE WHEN contains(s, 'ATG') OR contains(s, 'CAT') THEN CASE WHEN regexp_matches(s, 'TAA|TAG|TGA|TTA|CTA|TCA') THEN 'high' ELSE 'medium' END ELSE 'low' END AS coding_potential FROM {SQL_DNA}""",
+    "metrics": " UNION ALL ".join(f"SELECT id, 'n_{b.lower()}' AS \"Metric\", CAST({sql_count(b)} AS VARCHAR) AS \"Value\" FROM {SQL_DNA}" for b in schema.DNA),
+    "mean_gc": f"SELECT lower(trim(source)) AS source, count(*) AS n_sequences, CAST(sum({sql_count('GC')}) AS BIGINT) AS gc, CAST(sum(length(s)) AS BIGINT) AS n FROM {SQL_DNA} GROUP BY 1",
     "gc_profile": f"SELECT id, length(s) AS n, {sql_count('GC')} AS gc, {sql_count('GC')} / length(s) AS gc_fraction FROM {SQL_DNA}",
     "nucleotide_distribution": f"SELECT id, {', '.join(f'{sql_count(b)} AS n_{b.lower()}' for b in schema.DNA)} FROM {SQL_DNA}",
     "sequence_statistics": f"""
