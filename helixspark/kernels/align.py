@@ -46,6 +46,7 @@ SCORES = {"dna": _dna(), "protein": _protein()}
 
 
 def score(a: str, b: str, kind: str = "dna") -> int:
+    """ALN-03: score of two letters; unknown ones have 0 in DNA, -4 in proteins."""
     return int(SCORES[kind][min(ord(a.upper()), 127), min(ord(b.upper()), 127)])
 
 
@@ -94,7 +95,7 @@ def _walk_global(s: str, t: str, back: np.ndarray, state: int) -> tuple[str, str
 
 
 def align_global(a: list[str], b: list[str], kind: str = "dna", gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> list[tuple[str, str, int]]:
-    """Needleman-Wunsch with affine gaps: ``(a aligned, b aligned, score)`` of each pair.
+    """ALN-01: Needleman-Wunsch with affine gaps: ``(a aligned, b aligned, score)`` of each pair.
 
     ``gap_open`` is the cost of a gap's first letter; gaps open from a matched
     column only; on ties a match comes before a gap in ``b``, that before a
@@ -146,7 +147,7 @@ def _keep(ends: np.ndarray, i: int, n: np.ndarray, m: np.ndarray, match: np.ndar
 
 
 def align_local(a: list[str], b: list[str], kind: str = "dna", gap: int = LOCAL_GAP) -> list[tuple[str, str, int, int, int]]:
-    """Smith-Waterman with linear gaps: ``(a part, b part, score, a end, b end)``; the first best cell row by row, diagonal before up before left."""
+    """ALN-02: Smith-Waterman with linear gaps: ``(a part, b part, score, a end, b end)``; the first best cell row by row, diagonal before up before left."""
     out: list = [None] * len(a)
     for batch in _batches(a, b):
         s, n = _codes([a[i] for i in batch])
@@ -184,7 +185,7 @@ def align_local(a: list[str], b: list[str], kind: str = "dna", gap: int = LOCAL_
 
 
 def star(texts: list[str], kind: str = "dna") -> list[str]:
-    """Multiple alignment around the first text: once a gap, always a gap; rows of equal length."""
+    """ALN-06: Multiple alignment around the first text: once a gap, always a gap; rows of equal length."""
     if len(texts) < 2:
         return list(texts)
     centre = texts[0]

@@ -18,7 +18,7 @@ def _square(matrix) -> np.ndarray:
 
 
 def upgma(matrix, names: list[str]) -> list[tuple[str, str, float, float, str]]:
-    """Merges ``(left, right, height, size, node)`` by average linkage; the least distance first, ties by position."""
+    """PHY-01: Merges ``(left, right, height, size, node)`` by average linkage; the least distance first, ties by position."""
     d, labels, sizes = _square(matrix), list(names), [1.0] * len(names)
     out = []
     while len(labels) > 1:
@@ -36,7 +36,7 @@ def upgma(matrix, names: list[str]) -> list[tuple[str, str, float, float, str]]:
 
 
 def neighbour_joining(matrix, names: list[str]) -> list[tuple[str, str, float]]:
-    """Edges ``(parent, child, branch)``, branches to 4 places; the last node is the root."""
+    """PHY-02: Edges ``(parent, child, branch)``, branches to 4 places; the last node is the root."""
     d, labels = _square(matrix), list(names)
     edges: list[tuple[str, str, float]] = []
     while len(labels) > 2:
@@ -70,7 +70,7 @@ def upgma_edges(merges: list[tuple[str, str, float, float, str]]) -> list[tuple[
 
 
 def newick(edges: list[tuple[str, str, float]]) -> str:
-    """Newick text of a tree given by its edges; the node that is no child is the root."""
+    """PHY-03: Newick text of a tree given by its edges; the node that is no child is the root."""
     if not edges:
         return ";"
     below: dict[str, list[tuple[str, float]]] = {}
@@ -93,7 +93,7 @@ def newick(edges: list[tuple[str, str, float]]) -> str:
 
 
 def parse_newick(text: str) -> list[tuple[str, str, float]]:
-    """Edges of a Newick text; unnamed inner nodes are called ``Node_`` and a number."""
+    """PHY-04: Edges of a Newick text; unnamed inner nodes are called ``Node_`` and a number."""
     tokens = re.findall(r"[(),;]|:[^(),;:]+|[^(),;:]+", text.strip())
     edges: list[tuple[str, str, float]] = []
     groups: list[list[tuple[str, float]]] = [[]]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.plans import catalogue, composition, data_problems, patterns, similarity
+from helixspark.plans import catalogue, composition, data_problems, extras, patterns, similarity
 
-MODULES = [data_problems, composition, patterns, catalogue, similarity]
+MODULES = [data_problems, composition, patterns, catalogue, similarity, extras]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,13 +15,13 @@ MOST_IN_REPORT = 10_000
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """One JSON object per row, in a folder per value of ``by``."""
+    """SNK-01, SNK-10, SNK-12: One JSON object per row, in a folder per value of ``by``."""
     out = df.write.mode("overwrite")
     (out.partitionBy(*by) if by else out).json(path)
 
 
 def metrics(df: DataFrame, id_column: str) -> DataFrame:
-    """``(id, Metric, Value)``: one row per column and row, values as text; nulls are ``N/A``."""
+    """SNK-02: ``(id, Metric, Value)``: one row per column and row, values as text; nulls are ``N/A``."""
     rest = [c for c in df.columns if c != id_column]
     texts = df.select(id_column, *[F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) for c in rest])
     return texts.unpivot(id_column, rest, "Metric", "Value")
@@ -32,7 +32,7 @@ def write_metrics(df: DataFrame, id_column: str, path: str) -> None:
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "symbol", sequence: str = "sequence", width: int = 60) -> None:
-    """FASTA with the length in the header and lines of ``width`` letters; rows without letters are left out."""
+    """SNK-06: FASTA with the length in the header and lines of ``width`` letters; rows without letters are left out."""
     body = F.regexp_replace(sequence, f"(.{{{width}}})(?=.)", "$1\n")
     line = F.concat(F.lit(">"), F.coalesce(name, F.lit("Sequence")), F.lit(" | length="), F.length(sequence), F.lit("\n"), body)
     df.where(F.coalesce(F.length(sequence), F.lit(0)) > 0).select(line.alias("value")).write.mode("overwrite").text(path)
@@ -43,12 +43,12 @@ def write_newick(trees: DataFrame, path: str, group: str = "group", tree: str =
 
 
 def write_matrix(distances: DataFrame, path: str, row: str, column: str, value: str) -> None:
-    """Long distances as a square table; the names become columns, so only small matrices have this form."""
+    """SNK-07: Long distances as a square table; the names become columns, so only small matrices have this form."""
     distances.groupBy(row).pivot(column).agg(F.first(value)).orderBy(row).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def html_report(df: DataFrame, title: str, most: int = MOST_IN_REPORT) -> str:
-    """A table for people; more than ``most`` rows are an error, not a cut."""
+    """SNK-03: A table for people; more than ``most`` rows are an error, not a cut."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a report holds at most {most} rows")
@@ -59,7 +59,7 @@ def html_report(df: DataFrame, title: str, most: int = MOST_IN_REPORT) -> str:
 
 
 def write_package(df: DataFrame, folder: str, name: str, id_column: str) -> dict[str, str]:
-    """All formats of one result under one name."""
+    """SNK-05: All formats of one result under one name."""
     paths = {kind: os.path.join(folder, f"{name}.{kind}") for kind in ("json", "csv", "parquet")}
     write_json(df, paths["json"])
     write_metrics(df, id_column, paths["csv"])
@@ -68,17 +68,43 @@ def write_package(df: DataFrame, folder: str, name: str, id_column: str) -> dict
 
 
 def store(df: DataFrame, path: str) -> None:
-    """The catalogue's layout: a folder per sequence type, rows of like length together, so that type and length prune the scan."""
+    """SNK-11, SNK-16: The catalogue's layout: a folder per sequence type, rows of like length together, so that type and length prune the scan."""
     df.repartition("sequence_type").sortWithinPartitions("length").write.mode("overwrite").partitionBy("sequence_type").parquet(path)
 
 
 def store_index(index: DataFrame, path: str, word: str = "kmer", parts: int = 64) -> None:
-    """A k-mer index clustered by word."""
+    """SNK-17: A k-mer index clustered by word."""
     index.repartitionByRange(parts, word).sortWithinPartitions(word).write.mode("overwrite").parquet(path)
 
 
 def merge_into(old_path: str, new: DataFrame, key: str, new_path: str) -> None:
-    """The stored catalogue with ``new`` merged in, written beside it; of repeated keys in ``new`` the greatest row counts."""
+    """SNK-08, SNK-09: The stored catalogue with ``new`` merged in, written beside it; of repeated keys in ``new`` the greatest row counts."""
     spark = new.sparkSession
     latest = catalogue.first_of(new, [key], [F.desc(c) for c, t in new.dtypes if t in ("timestamp", "bigint", "int", "string")])
     catalogue.upsert(spark.read.parquet(old_path).select(*new.columns), latest, key).write.mode("overwrite").parquet(new_path)
+
+
+def snapshot(df: DataFrame, path: str) -> DataFrame:
+    """SRC-24: ``df`` written once and read back: a cache that outlives the session."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
+    """SNK-04: A workbook as one folder of CSV per sheet."""
+    for name, df in sheets.items():
+        df.write.mode("overwrite").csv(os.path.join(folder, name), header=True)
+
+
+def markdown(df: DataFrame, title: str, most: int = MOST_IN_REPORT) -> str:
+    """SNK-13: A table for people in Markdown; more than ``most`` rows are an error, not a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report holds at most {most} rows")
+    line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
+    return "\n".join([f"# {title}", "", line(df.columns), line("-" for _ in df.columns), *map(line, rows)])
+
+
+def write_sorted(df: DataFrame, path: str, by: str) -> None:
+    """SNK-14: CSV in descending order of one column; parts are ranges, so their names are in order."""
+    df.orderBy(F.desc_nulls_last(by)).write.mode("overwrite").csv(path, header=True)

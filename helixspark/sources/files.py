@@ -9,7 +9,7 @@ from helixspark.functions import seq
 
 
 def header_metadata(header: Column) -> Column:
-    """``map<string,string>`` of a header ``name | key=value | flag``; the last of equal keys wins."""
+    """SRC-02: ``map<string,string>`` of a header ``name | key=value | flag``; the last of equal keys wins."""
     parts = F.filter(F.transform(F.split(header, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
 
     def entry(p: Column) -> Column:
@@ -25,7 +25,7 @@ def header_metadata(header: Column) -> Column:
 
 
 def parse_text(df: DataFrame, text: str = "text", one_per_line: bool = False) -> DataFrame:
-    """``(header, metadata, sequence)`` of every record in texts that fit a row (pasted or uploaded).
+    """SRC-01: ``(header, metadata, sequence)`` of every record in texts that fit a row (pasted or uploaded).
 
     Lines are stripped, empty ones skipped, headers without a sequence
     dropped; an empty header is called ``Sequence``, text before any header,
@@ -49,7 +49,7 @@ def parse_text(df: DataFrame, text: str = "text", one_per_line: bool = False) ->
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records of FASTA files of any size: files split at headers, so one file is read by many tasks."""
+    """SRC-01: Records of FASTA files of any size: files split at headers, so one file is read by many tasks."""
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v"))
     header = F.trim(F.regexp_extract("v", r"^[^\r\n]*", 0))
     body = F.regexp_replace(F.regexp_replace("v", r"^[^\r\n]*", ""), r"\s+", "")
@@ -58,7 +58,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_database(records: DataFrame) -> DataFrame:
-    """Records as genes under their name; of equal names the one with the greatest header stays."""
+    """SRC-03: Records as genes under their name; of equal names the one with the greatest header stays."""
     meta = lambda k, d: F.coalesce(F.element_at("metadata", k), F.lit(d))
     rows = records.select(
         meta("name", "Sequence").alias("symbol"), meta("accession", "N/A").alias("accession"), meta("organism", "Unknown").alias("organism"), meta("trait", "Unknown").alias("trait"),
@@ -67,7 +67,7 @@ def as_database(records: DataFrame) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str, most_bytes: int = 5_000_000) -> DataFrame:
-    """``(path, text, fault)``: files as text, UTF-8 or else Latin-1; larger ones give the fault ``too large`` and no text."""
+    """SRC-22: ``(path, text, fault)``: files as text, UTF-8 or else Latin-1; larger ones give the fault ``too large`` and no text."""
     rows = spark.read.format("binaryFile").load(path)
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     small = F.col("length") <= most_bytes
@@ -75,13 +75,13 @@ def read_uploads(spark: SparkSession, path: str, most_bytes: int = 5_000_000) ->
 
 
 def read_species(spark: SparkSession, path: str) -> DataFrame:
-    """Names in a list, one a line; blank lines and those that start with ``#`` are skipped."""
+    """SRC-20: Names in a list, one a line; blank lines and those that start with ``#`` are skipped."""
     name = F.trim("value")
     return spark.read.text(path).where((name != "") & ~name.startswith("#")).select(name.alias("name"))
 
 
 def ncbi_records(records: DataFrame, kind: str = "dna", longest: dict[str, int] | None = None) -> DataFrame:
-    """FASTA records of a nucleotide or protein service as genes; sequences beyond the type's cap are left out.
+    """SRC-11, SRC-12: FASTA records of a nucleotide or protein service as genes; sequences beyond the type's cap are left out.
 
     The caps keep whole chromosomes out of the catalogue.
     """

@@ -16,7 +16,7 @@ from helixspark.functions import seq
 
 
 def gene_records(df: DataFrame, text: str = "value") -> DataFrame:
-    """``record`` variants of JSON databases: an object with ``genes`` or other lists of records, an array, a mapping of records, or one record.
+    """SRC-04, SRC-10: ``record`` variants of JSON databases: an object with ``genes`` or other lists of records, an array, a mapping of records, or one record.
 
     Texts that are no JSON, and entries that are no objects, give no rows.
     """
@@ -38,7 +38,7 @@ def gene_records(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def canonical(records: DataFrame) -> DataFrame:
-    """Loose records in the catalogue's columns: the first field that is neither null nor empty gives the value; without letters no row."""
+    """SRC-10, FLT-05: Loose records in the catalogue's columns: the first field that is neither null nor empty gives the value; without letters no row."""
     get = lambda k: F.nullif(F.try_variant_get("record", f"$.{k}", "string"), F.lit(""))
     first = lambda *ks: F.coalesce(*[get(k) for k in ks])
     s = F.upper(F.regexp_replace(F.coalesce(get("sequence"), get("seq")), r"\s+", ""))
@@ -49,13 +49,13 @@ def canonical(records: DataFrame) -> DataFrame:
 
 
 def version(text: Column) -> Column:
-    """Schema version of a database text: ``2`` where it says so, else ``1``."""
+    """SRC-09: Schema version of a database text: ``2`` where it says so, else ``1``."""
     v = F.coalesce(F.get_json_object(text, "$.schema.version"), F.get_json_object(text, "$.metadata.schema_version"), F.get_json_object(text, "$.version"))
     return F.when(v.startswith("2"), "2").otherwise("1")
 
 
 def to_v2(df: DataFrame) -> DataFrame:
-    """Catalogue rows as nested records of version 2: core, sequences, metadata."""
+    """SRC-08: Catalogue rows as nested records of version 2: core, sequences, metadata."""
     taxon = seq.taxonomy(F.col("organism"))
     organism = F.struct(F.col("organism").alias("scientific_name"), taxon["genus"].alias("genus"), taxon["species"].alias("species"))
     one = F.struct(F.lower("sequence_type").alias("type"), F.length("sequence").alias("length"), F.concat(F.lit("sha256:"), seq.sha_prefix(F.col("sequence"))).alias("sequence_hash"), seq.gc_fraction(F.upper("sequence")).alias("gc_content"))
@@ -66,13 +66,13 @@ def to_v2(df: DataFrame) -> DataFrame:
 
 
 def from_v2(df: DataFrame) -> DataFrame:
-    """Version 2 records in flat form; they carry no letters."""
+    """SRC-09: Version 2 records in flat form; they carry no letters."""
     first = F.get("sequences", F.lit(0))
     return df.select(F.col("core.gene_id").alias("gene_id"), F.col("core.symbol").alias("symbol"), F.col("core.organism.scientific_name").alias("organism"), first["type"].alias("sequence_type"), first["length"].alias("length"), F.col("metadata.source").alias("source"))
 
 
 def sequence_type_filter(df: DataFrame, kind: str) -> DataFrame:
-    """Version 2 records with a sequence of one type."""
+    """FLT-12: Version 2 records with a sequence of one type."""
     return df.where(F.exists("sequences", lambda s: s["type"] == kind))
 
 
@@ -86,7 +86,7 @@ _UNIPROT = (
 
 
 def uniprot(df: DataFrame, text: str = "value") -> DataFrame:
-    """Pages of protein entries (``{"results": [...]}``) as genes; entries without accession or letters give no row."""
+    """SRC-13: Pages of protein entries (``{"results": [...]}``) as genes; entries without accession or letters give no row."""
     e = df.select(F.explode(F.from_json(text, f"struct<results array<struct<{_UNIPROT.replace(' string', ': string').replace(' double', ': double').replace(' struct<', ': struct<').replace(' array<', ': array<')}>>>".replace("results array", "results: array"))["results"]).alias("e")).select("e.*")
     refs = lambda db: F.transform(F.filter("uniProtKBCrossReferences", lambda r: r["database"] == db), lambda r: r["id"])
     prop = lambda r, k: F.get(F.transform(F.filter(r["properties"], lambda p: p["key"] == k), lambda p: p["value"]), F.lit(0))
@@ -106,7 +106,7 @@ def uniprot(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def kegg(spark: SparkSession, path: str, organism: str, code: str) -> DataFrame:
-    """Flat files of entries that end with ``///``: keys in the first twelve columns, continued lines below.
+    """SRC-14: Flat files of entries that end with ``///``: keys in the first twelve columns, continued lines below.
 
     An entry without letters is kept if it has pathways or orthologues.
     """
@@ -139,7 +139,7 @@ def kegg(spark: SparkSession, path: str, organism: str, code: str) -> DataFrame:
 
 
 def tf_families(spark: SparkSession, path: str, families: DataFrame, organism: str) -> DataFrame:
-    """Tab-separated transcription factors (``TF_ID, Gene_ID, Family``; gzip is fine) with their family's description.
+    """SRC-15, JON-13: Tab-separated transcription factors (``TF_ID, Gene_ID, Family``; gzip is fine) with their family's description.
 
     ``families(family, text)`` is a dimension; the planner broadcasts it if it is small.
     """
@@ -158,7 +158,7 @@ _ARTICLE = (
 
 
 def pubmed(spark: SparkSession, path: str, species: str) -> DataFrame:
-    """Articles of XML files, read by the built-in reader; abstracts up to 1000 letters, 10 authors, 20 headings, 15 keywords."""
+    """SRC-16: Articles of XML files, read by the built-in reader; abstracts up to 1000 letters, 10 authors, 20 headings, 15 keywords."""
     rows = spark.read.schema(_ARTICLE).option("rowTag", "PubmedArticle").option("valueTag", "_VALUE").option("attributePrefix", "_").format("xml").load(path)
     a = "MedlineCitation.Article"
     parts = F.transform(F.col(f"{a}.Abstract.AbstractText"), lambda x: F.concat_ws(": ", x["_Label"], F.coalesce(x["_VALUE"], F.lit(""))))
@@ -172,7 +172,7 @@ def pubmed(spark: SparkSession, path: str, species: str) -> DataFrame:
 
 
 def ensembl(df: DataFrame, text: str = "value") -> DataFrame:
-    """Gene lookups: the record's place on its assembly and its canonical transcript, else the first."""
+    """SRC-17: Gene lookups: the record's place on its assembly and its canonical transcript, else the first."""
     shape = "struct<id: string, display_name: string, name: string, description: string, biotype: string, assembly_name: string, start: bigint, end: bigint, strand: int, species: string, Transcript: array<struct<id: string, is_canonical: int>>>"
     e = df.select(F.from_json(text, shape).alias("e")).select("e.*").where(F.col("id").isNotNull())
     best = F.coalesce(F.get(F.filter("Transcript", lambda t: t["is_canonical"] == 1), F.lit(0))["id"], F.get("Transcript", F.lit(0))["id"])
@@ -180,14 +180,14 @@ def ensembl(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def geo(df: DataFrame, text: str = "value") -> DataFrame:
-    """Dataset summaries keyed by their number (``{"result": {...}}``); those with an error, and the list of numbers, are passed over."""
+    """SRC-18: Dataset summaries keyed by their number (``{"result": {...}}``); those with an error, and the list of numbers, are passed over."""
     each = df.select(F.explode(F.try_variant_get(F.try_parse_json(F.col(text)), "$.result", "map<string,variant>")).alias("uid", "v")).where((F.col("uid") != "uids") & F.try_variant_get("v", "$.error", "string").isNull())
     get = lambda *ks: F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in ks])
     return each.select(F.lit("GEO").alias("source"), F.coalesce(get("accession", "Accession"), F.concat(F.lit("GDS"), "uid")).alias("accession"), F.coalesce(get("title", "Title"), F.lit("")).alias("title"), F.coalesce(get("taxon", "Organism", "entrytype"), F.lit("")).alias("organism"), F.coalesce(get("platform", "Platform"), F.lit("")).alias("platform"), get("n_samples", "samples").alias("samples"))
 
 
 def atlas(df: DataFrame, text: str = "value") -> DataFrame:
-    """Experiments found by a search (``{"entries": [...]}``): the first species stays."""
+    """SRC-19: Experiments found by a search (``{"entries": [...]}``): the first species stays."""
     each = df.select(F.explode(F.from_json(text, "struct<entries: array<struct<id: string, acc: string, description: string, name: string, fields: struct<species: array<string>>>>>")["entries"]).alias("e")).select("e.*")
     rows = each.select(F.lit("Expression Atlas").alias("source"), F.coalesce("id", "acc").alias("experiment_id"), F.coalesce("description", "name", F.lit("")).alias("title"), F.coalesce(F.get("fields.species", F.lit(0)), F.lit("")).alias("species"))
     return rows.where(F.col("experiment_id").isNotNull())

@@ -170,3 +170,22 @@ def test_trees_of_groups(spark):
     row, = phylogeny.group_trees(df).collect()
     assert (row["group"], row["n"], row["n_left"]) == ("g", 3, 0) and row["upgma"].endswith(";")
     assert {(r["group"], len(r["aligned"])) for r in phylogeny.group_alignment(df).collect()} == {("g", 10), ("h", 2)}
+
+
+def test_pages(spark, tmp_path):
+    from helixspark.sources.pages import Pages, fetch
+
+    spark.dataSource.register(Pages)
+    urls = [f"file://{put(tmp_path, f'{i}.json', str(i))}" for i in range(3)] + ["file:///nowhere/x"]
+    assert fetch("file:///nowhere/x", backoff=0)[1] == "URLError"
+    got = {(r["value"], r["fault"]) for r in spark.read.format("pages").option("urls", "\n".join(urls)).option("batch", 2).load().collect()}
+    assert got == {("0", None), ("1", None), ("2", None), (None, "URLError")}
+
+
+def test_other_writers(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1.0), (None, 3.0), ("c", None)], "x string, y double")
+    assert writers.markdown(df, "T").split("\n")[4] == "| a\\|b | 1.0 |"
+    assert writers.snapshot(df, str(tmp_path / "p")).count() == 3
+    writers.write_sheets({"one": df, "two": df}, str(tmp_path / "s"))
+    writers.write_sorted(df, str(tmp_path / "o"), "y")
+    assert spark.read.csv(str(tmp_path / "s" / "two"), header=True).count() == 3 and spark.read.csv(str(tmp_path / "o"), header=True).first()["y"] == "3.0"
