@@ -15,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.session import checkpoint
+
+#: Schema shapes up to which their table is broadcast; more are joined by shuffle.
+MOST_SHAPES = 20_000
 #: Stands in a label for an object that is alone where other rows may have an array.
 ALONE = "@"
 
@@ -124,18 +128,20 @@ def elements(df: DataFrame, columns: list[str], id_column: str = "id", with_node
     texts = [(F.col(c) if dtypes[c] == "string" else F.to_json(F.col(c))).alias(c) for c in columns]
     source = df.select(F.col(id_column).cast("bigint").alias("id"), *texts)
     nodes = source.mapInArrow(_nodes(columns, with_node), _NODE + ", node string" * with_node)
-    shapes = source.select(*columns).mapInArrow(_shapes(columns), "path string, alone array<string>, root boolean").distinct()
+    # one row per schema path and lone paths above it: as large as the schema, read several times below
+    shapes = checkpoint(source.select(*columns).mapInArrow(_shapes(columns), "path string, alone array<string>, root boolean").distinct())
     arrays = shapes.where(~F.col("root") & ~F.array_contains("alone", F.col("path"))).select(F.col("path").alias("lone")).distinct()
-    # columns whose top level is an array in some row: one row with at most as many names as there are columns
-    roots = arrays.where(F.col("lone").isin(columns)).agg(F.collect_set("lone").alias("_roots"))
-    # the lone paths of a shape that are arrays elsewhere; as large as the schema, not the data
+    # columns whose top level is an array in some row: at most as many rows as there are columns
+    roots = arrays.where(F.col("lone").isin(columns)).select(F.col("lone").alias("_root"))
+    # the lone paths of a shape that are arrays elsewhere
     known = shapes.where(F.size("alone") > 0).select("path", "alone", F.explode("alone").alias("lone")).join(arrays, "lone", "left_semi")
     known = known.groupBy("path", "alone").agg(F.collect_set("lone").alias("_arrays"))
-    plain = nodes.where(F.size("alone") == 0)
-    lone = nodes.where(F.size("alone") > 0).join(known, ["path", "alone"], "left")
-    lone = lone.withColumn("_arrays", F.coalesce("_arrays", F.array().cast("array<string>")))
+    if shapes.limit(MOST_SHAPES + 1).count() <= MOST_SHAPES:
+        known = F.broadcast(known)
+    lone = nodes.join(known, ["path", "alone"], "left").withColumn("_arrays", F.coalesce("_arrays", F.array().cast("array<string>")))
     # an object alone at its own path is an element only if that path holds arrays
-    lone = lone.where((F.element_at("alone", -1) != F.col("path")) | (~F.col("item").endswith(ALONE)) | F.array_contains("_arrays", F.col("path")))
+    own = F.col("item").endswith(ALONE) & (F.try_element_at("alone", F.lit(-1)) == F.col("path"))
+    lone = lone.where(~F.coalesce(own, F.lit(False)) | F.array_contains("_arrays", F.col("path")))
     # the n-th lone step of a label belongs to the n-th lone path
     label = F.aggregate(
         F.split("item", r"\."),
@@ -145,11 +151,11 @@ def elements(df: DataFrame, columns: list[str], id_column: str = "id", with_node
                 F.array_contains("_arrays", F.get("alone", acc["n"])), F.array(F.lit("0"))).otherwise(F.array().cast("array<string>"))).alias("out"))),
         lambda acc: acc["out"],
     )
-    lone = lone.withColumn("item", F.array_join(label, ".")).drop("_arrays")
-    every = plain.unionByName(lone.select(plain.columns)).join(F.broadcast(roots))
-    under = F.col("rooted") & F.array_contains("_roots", F.substring_index("path", ".", 1))
+    item = F.when(F.size("alone") > 0, F.array_join(label, ".")).otherwise(F.col("item"))
+    every = lone.withColumn("item", item).drop("_arrays").join(F.broadcast(roots), F.substring_index("path", ".", 1) == F.col("_root"), "left")
+    under = F.col("rooted") & F.col("_root").isNotNull()
     every = every.where((F.col("item") != "") | under).withColumn("item", F.when(under, F.concat_ws(".", F.lit("0"), F.nullif("item", F.lit("")))).otherwise(F.col("item")))
-    return every.drop("alone", "rooted", "_roots")
+    return every.select("id", "path", "item", *(["node"] if with_node else []))
 
 
 def with_parents(found: DataFrame) -> DataFrame:

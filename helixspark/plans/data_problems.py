@@ -29,7 +29,7 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.elements(table(spark, d, "genes"), NESTED).distinct()
+    return nested.elements(table(spark, d, "genes"), NESTED)  # distinct as ids are
 
 
 def p2_linked(spark: SparkSession, d: str) -> DataFrame:
