@@ -90,9 +90,10 @@ def _absent(entries: Column):
 def attach(df: DataFrame, keys: list[Column], details: DataFrame, detail_keys: list[Column], columns: list[str]) -> DataFrame:
     """``details`` joined where any of its keys equals any of the row's: one join on exploded keys, not a join per pair of keys.
 
-    A row meets each detail once; null and empty keys match nothing.
+    ``df`` has a unique ``id``.  A row meets each detail once; null and empty
+    keys match nothing.
     """
-    left = df.withColumn("_row", F.monotonically_increasing_id() if "id" not in df.columns else F.col("id"))
+    left = df.withColumn("_row", F.col("id"))
     one = left.select("_row", F.explode(F.array_distinct(F.array_compact(F.array(*[F.nullif(k, F.lit("")) for k in keys])))).alias("_key"))
     two = details.select(*columns, F.explode(F.array_distinct(F.array_compact(F.array(*[F.nullif(k, F.lit("")) for k in detail_keys])))).alias("_key"))
     return left.join(one.join(two, "_key").drop("_key").distinct(), "_row", "left").drop("_row")

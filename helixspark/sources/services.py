@@ -11,10 +11,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from helixspark import schema
 from helixspark.functions import seq
 
 
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-05: catalogue records, one JSON object a line, under the declared schema; broken lines keep their text in ``_corrupt_record``."""
+    declared = T.StructType([*schema.GENE.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(declared).option("mode", "PERMISSIVE").json(path)
+
+
 def gene_records(df: DataFrame, text: str = "value") -> DataFrame:
     """SRC-04, SRC-10: ``record`` variants of JSON databases: an object with ``genes`` or other lists of records, an array, a mapping of records, or one record.
 
@@ -110,7 +118,7 @@ def kegg(spark: SparkSession, path: str, organism: str, code: str) -> DataFrame:
 
     An entry without letters is kept if it has pathways or orthologues.
     """
-    schema = "gene_id string, symbol string, organism string, sequence string, sequence_type string, description string, length int, source string, pathways array<struct<id string, name string, source string>>, ko_ids array<string>, traits array<string>".replace(" string", ": string").replace(" int", ": int").replace(" array<", ": array<")
+    columns = "gene_id string, symbol string, organism string, sequence string, sequence_type string, description string, length int, source string, pathways array<struct<id string, name string, source string>>, ko_ids array<string>, traits array<string>".replace(" string", ": string").replace(" int", ": int").replace(" array<", ": array<")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,7 +143,7 @@ def kegg(spark: SparkSession, path: str, organism: str, code: str) -> DataFrame:
                     out.append((f"{code}:{name[0]}", symbol, organism, letters, kind if letters else "", " ".join(fields.get("DEFINITION", [])), len(letters), "kegg", paths, ko, [p["name"] for p in paths[:5]]))
             yield pd.DataFrame(out, columns=["gene_id", "symbol", "organism", "sequence", "sequence_type", "description", "length", "source", "pathways", "ko_ids", "traits"])
 
-    return spark.read.option("lineSep", "\n///\n").text(path).mapInPandas(parse, schema)
+    return spark.read.option("lineSep", "\n///\n").text(path).mapInPandas(parse, columns)
 
 
 def tf_families(spark: SparkSession, path: str, families: DataFrame, organism: str) -> DataFrame:

@@ -189,3 +189,10 @@ def test_other_writers(spark, tmp_path):
     writers.write_sheets({"one": df, "two": df}, str(tmp_path / "s"))
     writers.write_sorted(df, str(tmp_path / "o"), "y")
     assert spark.read.csv(str(tmp_path / "s" / "two"), header=True).count() == 3 and spark.read.csv(str(tmp_path / "o"), header=True).first()["y"] == "3.0"
+
+
+def test_read_catalogue(spark, tmp_path):
+    path = put(tmp_path, "c.json", '{"gene_id":"g","external_links":{"a":"b"},"publications":[{"pmid":"1","year":2001}],"extra":1}\n{broken\n')
+    rows = services.read_catalogue(spark, path).cache().collect()
+    assert {(r["gene_id"], r["_corrupt_record"]) for r in rows} == {("g", None), (None, "{broken")}
+    assert next(r for r in rows if r["gene_id"])["publications"][0]["year"] == 2001
