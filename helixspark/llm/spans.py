@@ -83,10 +83,10 @@ def anchors(texts: DataFrame, k: int, w: int) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 2000):
                 batch = big.slice(at, 2000)
-                raw = [t.encode("utf-16-le", "surrogatepass") for t in batch.column("text").to_pylist()]
-                lengths = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+                raw = [t.encode("utf-32-le", "surrogatepass") for t in batch.column("text").to_pylist()]
+                lengths = np.array([len(r) // 4 for r in raw], dtype=np.int64)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                n, pos, h = winnow(letter_values(np.frombuffer(b"".join(raw), dtype="<u2")), starts, lengths, k, w)
+                n, pos, h = winnow(letter_values(np.frombuffer(b"".join(raw), dtype="<u4") & 0xFFFF), starts, lengths, k, w)
                 take = pa.array(n)
                 cols = [pa.array(h), batch.column("cid").take(take), pa.array(pos.astype(np.int32)), batch.column("klo").take(take), batch.column("khi").take(take)]
                 yield pa.RecordBatch.from_arrays(cols, names=["h", "cid", "pos", "klo", "khi"])

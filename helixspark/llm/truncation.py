@@ -27,6 +27,8 @@ from helixspark.session import checkpoint
 
 #: Bound on the messages that the model of endings is fitted on.
 MOST_SAMPLED = 4000
+#: Longest message that may be among them; all texts are judged, whatever their length.
+MOST_SAMPLED_CHARS = 20_000
 CUTS_EACH = 4
 SIZE = 1 << 15
 #: Share of texts that a broken transfer cuts, before any evidence.
@@ -151,7 +153,7 @@ def fit_endings(texts: list[str], seed: int = 11, rounds: int = 12) -> EndingMod
 
 def _sample(documents: DataFrame, most: int) -> list[str]:
     """Whole texts: the text parts of at most ``most`` closed multipart messages, chosen by a hash of their id."""
-    multi = documents.where(F.col("text").rlike(r"(?i)content-type:\s*multipart/")).select("doc_id", "text")
+    multi = documents.where((F.length("text") <= MOST_SAMPLED_CHARS) & F.col("text").rlike(r"(?i)content-type:\s*multipart/")).select("doc_id", "text")
     rows = multi.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     out = []
     for r in rows:
