@@ -16,7 +16,7 @@ GAP_OPEN, GAP_EXTEND, LOCAL_GAP = -10, -1, -2
 #: Longest sequence that is aligned.
 MOST = 5000
 #: Cells filled at once.
-CELLS = 4_000_000
+CELLS = 16_000_000
 
 
 def _table(letters: str, rows: np.ndarray, unknown: int) -> np.ndarray:
@@ -116,21 +116,25 @@ def align_global(a: list[str], b: list[str], kind: str = "dna", gap_open: int =
         back[:, 0, 2:] |= 8
         ends = np.zeros((3, size), dtype=np.int32)
         _keep(ends, 0, n, m, match, up, left)
+        profile, letter = _profile(s, t, kind)
+        each = np.arange(size)
         for i in range(1, rows + 1):
             best = np.maximum(np.maximum(match, up), left)
-            source = np.where(match == best, 0, np.where(up == best, 1, 2)).astype(np.uint8)
+            source = (match < best).view(np.uint8)
+            source += source & (up < best).view(np.uint8)
             new = np.full_like(match, NEG)
-            new[:, 1:] = SCORES[kind][s[:, i - 1 : i] & 127, t & 127] + best[:, :-1]
+            np.add(profile[each, letter[:, i - 1]], best[:, :-1], out=new[:, 1:])
             opened, extended = match + gap_open, up + gap_extend
+            code = (opened < extended).view(np.uint8) << 2
+            code[:, 1:] |= source[:, :-1]
             down = np.maximum(opened, extended)
-            back[:, i, 1:] = source[:, :-1]
-            back[:, i] |= (opened < extended).astype(np.uint8) << 2
             # gaps in a run along the row: a running maximum of where they open
-            opens = new[:, :-1] + gap_open - steps[1:]
+            opens = new[:, :-1] + gap_open
             right = np.full_like(left, NEG)
-            right[:, 1:] = np.maximum.accumulate(np.maximum(opens, NEG), axis=1) + steps[1:]
-            longer = right[:, :-1] + gap_extend
-            back[:, i, 1:] |= (new[:, :-1] + gap_open < longer).astype(np.uint8) << 3
+            np.maximum.accumulate(np.maximum(opens - steps[1:], NEG), axis=1, out=right[:, 1:])
+            right[:, 1:] += steps[1:]
+            code[:, 1:] |= (opens < right[:, :-1] + gap_extend).view(np.uint8) << 3
+            back[:, i] = code
             match, up, left = new, down, right
             _keep(ends, i, n, m, match, up, left)
         for k, i in enumerate(batch):
@@ -140,6 +144,12 @@ def align_global(a: list[str], b: list[str], kind: str = "dna", gap_open: int =
     return out
 
 
+def _profile(s: np.ndarray, t: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Score rows of every letter of ``s`` against each text of ``t``, and which of them each place of ``s`` takes."""
+    letters, place = np.unique(s, return_inverse=True)
+    return SCORES[kind][letters[None, :, None] & 127, t[:, None, :] & 127], place.reshape(s.shape)
+
+
 def _keep(ends: np.ndarray, i: int, n: np.ndarray, m: np.ndarray, match: np.ndarray, up: np.ndarray, left: np.ndarray) -> None:
     done = np.flatnonzero(n == i)
     for row, x in zip(ends, (match, up, left), strict=True):
@@ -157,9 +167,11 @@ def align_local(a: list[str], b: list[str], kind: str = "dna", gap: int = LOCAL_
         last = np.zeros((size, cols + 1), dtype=np.int32)
         steps = np.arange(cols + 1, dtype=np.int32) * gap
         inside = np.arange(1, cols + 1) <= m[:, None]
+        profile, letter = _profile(s, t, kind)
+        each = np.arange(size)
         top, at_i, at_j = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=int), np.zeros(size, dtype=int)
         for i in range(1, rows + 1):
-            diagonal = last[:, :-1] + SCORES[kind][s[:, i - 1 : i] & 127, t & 127]
+            diagonal = last[:, :-1] + profile[each, letter[:, i - 1]]
             above = last[:, 1:] + gap
             now = np.zeros_like(last)
             now[:, 1:] = np.maximum(0, np.maximum(diagonal, above))
