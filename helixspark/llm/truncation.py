@@ -2,8 +2,8 @@
 
 Two kinds of evidence are combined.  Lengths: per source the natural lengths
 follow a log-normal law, right-censored at the source's limits; limits show
-as lengths far more frequent than their neighbours whose texts break off, and
-the fitted law tells how many texts would have had that length anyway.
+as lengths far more frequent than their neighbours and than the law, whose
+excess breaks off, and the law's odds there are the prior of each text.
 Endings: a message whose structure is left open was cut for certain;
 otherwise a linear model of the last line tells how much likelier the ending
 is in a text cut anywhere than in a whole one.  The model is fitted without
@@ -189,12 +189,10 @@ def endings(documents: DataFrame, most: int = MOST_SAMPLED) -> DataFrame:
     return text.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), ratio("text").alias("ratio"))
 
 
-def _fit_law(group: pd.DataFrame) -> pd.DataFrame:
-    """Maximum-likelihood log-normal law of one source and unit, right-censored at its spikes; how many texts each spike would hold anyway."""
-    from math import erf, exp, log, pi, sqrt
+def _censored_law(free: pd.DataFrame, spikes: pd.DataFrame) -> tuple[float, float]:
+    """Mean and deviation of the log lengths by maximum likelihood; a text at a spike is at least that long."""
+    from math import erf, exp, pi, sqrt
 
-    spikes = group[group["spike"]]
-    free = group[~group["spike"]]
     n = float(free["n"].sum())
     mean = float((free["n"] * free["log"]).sum() / n) if n else 0.0
     var = float((free["n"] * (free["log"] - mean) ** 2).sum() / n) if n else 1.0
@@ -208,46 +206,51 @@ def _fit_law(group: pd.DataFrame) -> pd.DataFrame:
             first = mean + sd * hazard
             a1, a2, m = a1 + count * first, a2 + count * (mean * mean + sd * sd + sd * hazard * (log_len + mean)), m + count
         mean, var = a1 / m, max(a2 / m - (a1 / m) ** 2, 1e-4)
-    sd, total = sqrt(var), float(group["n"].sum())
-    expected = [total * exp(-(((x - mean) / sd) ** 2) / 2) / (sd * sqrt(2 * pi) * size) for x, size in zip(spikes["log"], spikes["size"], strict=True)]
-    return spikes.assign(expected=expected)[["source", "unit", "size", "n", "expected"]]
+    return mean, sqrt(var)
+
+
+def _fit_law(group: pd.DataFrame) -> pd.DataFrame:
+    """Limits of one source and unit with the log-odds of a cut there: texts beyond the law's expectation against those it expects.
+
+    The law is right-censored at its limits.  A spike that the law explains,
+    or whose excess over it doesn't break off, is no limit; its texts then
+    count with the length they have, and the law is fitted again.
+    """
+    held = group["spike"].to_numpy()
+    while True:
+        spikes = group[held]
+        mean, sd = _censored_law(group[~held], spikes)
+        n, size = spikes["n"].to_numpy(float), np.maximum(spikes["size"].to_numpy(float), 1)
+        density = np.exp(-(((spikes["log"].to_numpy(float) - mean) / sd) ** 2) / 2) / (sd * np.sqrt(2 * np.pi) * size)
+        expected = np.maximum(float(group["n"].sum()) * density, 0.5)
+        excess = n - expected
+        kept = (excess > 6 * np.sqrt(expected) + 3) & (spikes["broken"].to_numpy(float) > 0.5 * excess)
+        if kept.all():
+            break
+        held = held.copy()
+        held[held] = kept
+    return spikes.assign(log_odds=np.log(excess / expected))[["source", "unit", "size", "log_odds"]]
 
 
 def limits(found: DataFrame, least_rows: int = 5) -> DataFrame:
     """``(source, unit, size, log_odds)``: the length limits of each source with the odds that a text of that length was cut.
 
-    A limit is a length, in characters or bytes, that exceeds its neighbours'
-    frequency by six standard deviations and at which most texts end as if
+    Candidates are lengths, in characters or bytes, that exceed their
+    neighbours' frequency by six standard deviations.  A limit exceeds the
+    source's fitted law by as much, and most texts of that excess end as if
     cut.  Work is per distinct length, not per text.
     """
     sized = found.select("source", "ratio", F.explode(F.create_map(F.lit("chars"), "n_chars", F.lit("bytes"), "n_bytes")).alias("unit", "size"))
-    counts = sized.groupBy("source", "unit", "size").agg(F.count("*").alias("n"), F.avg((F.col("ratio") > 0).cast("int")).alias("broken"))
+    counts = sized.groupBy("source", "unit", "size").agg(F.count("*").alias("n"), F.count_if(F.col("ratio") > 0).alias("broken"))
     near = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-60, 60)
     around = (F.sum("n").over(near) - F.col("n")) / 120
-    spike = (F.col("n") >= least_rows) & (F.col("n") > around + 6 * F.sqrt(around) + 3) & (F.col("broken") > 0.5)
+    spike = (F.col("n") >= least_rows) & (F.col("n") > around + 6 * F.sqrt(around) + 3) & (F.col("broken") > 0)
     marked = counts.withColumn("spike", spike).withColumn("log", F.log(F.greatest("size", F.lit(1))))
     # the law needs lengths only up to a log-bin, so a group stays a few thousand rows however long texts are
     binned = marked.groupBy("source", "unit", "spike", F.when(F.col("spike"), F.col("size")).otherwise(-F.floor(F.col("log") * 200)).alias("bin"))
-    binned = binned.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("log"), F.max("size").alias("size")).drop("bin")
-    spikes = marked.where("spike").select("source", "unit", "size")
-    with_spike = binned.join(spikes.select("source", "unit").distinct(), ["source", "unit"], "left_semi")
-    law = with_spike.groupBy("source", "unit").applyInPandas(_fit_law, "source string, unit string, size bigint, n bigint, expected double")
-    # of each spike, the endings as a histogram: at most 161 rows however many texts
-    at = sized.join(spikes, ["source", "unit", "size"], "left_semi")
-    at = at.groupBy("source", "unit", "size", (F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "ratio")) * 4) / 4).alias("ratio")).agg(F.count("*").alias("m"))
-    joined = at.join(law, ["source", "unit", "size"])
-    return joined.groupBy("source", "unit", "size").applyInPandas(_share_cut, "source string, unit string, size bigint, log_odds double")
-
-
-def _share_cut(group: pd.DataFrame) -> pd.DataFrame:
-    """Log-odds of being cut at one limit: the law's expectation, then the share that fits the endings seen there."""
-    n, expected = float(group["n"].iloc[0]), float(group["expected"].iloc[0])
-    ratio, m = group["ratio"].to_numpy(), group["m"].to_numpy()
-    share = min(max(1 - expected / n, 0.5), 1 - 0.5 / n)
-    for _ in range(100):
-        post = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + ratio)))
-        share = float(((post * m).sum() + 1) / (m.sum() + 2))
-    return group.iloc[:1][["source", "unit", "size"]].assign(log_odds=float(np.log(share / (1 - share))))
+    binned = binned.agg(F.sum("n").alias("n"), F.sum("broken").alias("broken"), (F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("log"), F.max("size").alias("size")).drop("bin")
+    with_spike = binned.join(marked.where("spike").select("source", "unit").distinct(), ["source", "unit"], "left_semi")
+    return with_spike.groupBy("source", "unit").applyInPandas(_fit_law, "source string, unit string, size bigint, log_odds double")
 
 
 def truncated(documents: DataFrame, most: int = MOST_SAMPLED) -> DataFrame:

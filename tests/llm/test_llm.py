@@ -277,6 +277,27 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_length_law_decides_at_the_limits(spark):
+    """Equal endings, unequal odds: a limit in the middle of the natural lengths holds more texts that end there anyway."""
+    import numpy as np
+
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for source, limit, mean in (("middle", 400, 6.0), ("far", 900, 6.0)):
+        natural = np.exp(rng.normal(mean, 0.5, 60_000)).round().astype(int)
+        limited = rng.random(len(natural)) < 0.02 if source == "middle" else np.ones(len(natural), bool)
+        sizes = np.where(limited, np.minimum(natural, limit), natural)
+        cut = (limited & (natural > limit)).sum()
+        want[source] = float(np.log(cut / (sizes == limit).sum() / (1 - cut / (sizes == limit).sum())))
+        rows += [(source, 1.0 if n == limit else -1.0, int(n), int(n) + 5000 * i) for i, n in enumerate(sizes)]
+    # a form letter: one length, but whole
+    rows += [("form", -5.0 if n == 500 else -1.0, int(n), int(n) + 5000 * i) for i, n in enumerate([*np.exp(rng.normal(6.0, 0.5, 3000)).astype(int), *[500] * 300])]
+    found = spark.createDataFrame(rows, "source string, ratio double, n_chars bigint, n_bytes bigint")
+    got = {(r["source"], r["size"]): r["log_odds"] for r in truncation.limits(found).where("unit = 'chars'").collect()}
+    assert set(got) == {("middle", 400), ("far", 900)}
+    assert abs(got["middle", 400] - want["middle"]) < 0.3 and abs(got["far", 900] - want["far"]) < 0.3
+    assert got["far", 900] - got["middle", 400] > 2
+
+
 # ---- contract
 
 
