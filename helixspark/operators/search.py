@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from helixspark.functions import seq
 from helixspark.kernels import align as kernel
+from helixspark.session import checkpoint
 
 K = 12
 SALT = 8
-#: Candidates aligned per result wanted.
+#: Candidates aligned first, per result wanted; of the others all that could still be among the results.
 PER_RESULT = 15
 
 
@@ -30,8 +31,8 @@ def kmer_index(df: DataFrame, k: int = K, id_column: str = "id", text: str = "s"
     return df.select(F.col(id_column).alias("id"), F.explode(words).alias("kmer"))
 
 
-def shared_kmers(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """``(query, id, shared)``: how many distinct words each query shares with each gene other than itself.
+def shared_kmers(queries: DataFrame, index: DataFrame, itself: bool = False) -> DataFrame:
+    """``(query, id, shared)``: how many distinct words each query shares with each gene, other than itself unless ``itself``.
 
     ``queries`` and ``index`` have ``id`` and ``kmer``.  Counts are folded
     before the shuffle; pairs that share nothing never arise.
@@ -39,7 +40,8 @@ def shared_kmers(queries: DataFrame, index: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
     q = queries.select(F.col("id").alias("query"), "kmer", salts.alias("_salt"))
     g = index.select("id", "kmer", F.pmod(F.hash("id"), F.lit(SALT)).alias("_salt"))
-    return q.join(g, ["kmer", "_salt"]).where("query <> id").groupBy("query", "id").agg(F.count("*").alias("shared"))
+    both = q.join(g, ["kmer", "_salt"])
+    return (both if itself else both.where("query <> id")).groupBy("query", "id").agg(F.count("*").alias("shared"))
 
 
 def top(scored: DataFrame, score: str, k: int, query: str = "query", tie: str = "id") -> DataFrame:
@@ -102,24 +104,106 @@ def with_sequences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(t.toDF("query", "query_s"), "query").join(t.toDF("id", "s"), "id")
 
 
-def search(queries: DataFrame, genes: DataFrame, results: int = 5, kind: str = "dna", alphabet: str = "ACGT", k: int = K, parallel: int | None = None) -> DataFrame:
-    """The ``results`` most similar genes of each query: ``(query, rank, id, shared, score, query_aligned, gene_aligned)``.
+def common_letters(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, one bit of an integer per letter of ``a``; no alignment has more equal columns."""
+    places = letter_places(a) if places is None else places
+    every = (1 << len(a)) - 1
+    free = every
+    for x in b:
+        met = free & places.get(x, 0)
+        free = ((free + met) | (free - met)) & every
+    return len(a) - free.bit_count()
 
-    Both have ``id`` and ``s``; a query doesn't find itself.  The
-    ``PER_RESULT`` times ``results`` genes that share most words with a query
-    are aligned globally; rank is by identity over the whole alignment, ties
-    by id.
-    """
+
+def letter_places(a: str) -> dict[str, int]:
+    """The places of each letter as a bitmap."""
+    return {x: int("".join("1" if y == x else "0" for y in reversed(a)), 2) for x in set(a)}
+
+
+def most_identity(a: str, b: str) -> Column:
+    """Upper bound on the percentage of equal columns in any alignment of two texts."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            places = {t: letter_places(t) for t in x.unique()}
+            yield pd.Series([100 * common_letters(t, u, places[t]) / max(len(t), len(u), 1) for t, u in zip(x, y, strict=True)], dtype="float64")
+
+    return run.asNondeterministic()(a, b)  # else the filter moves ahead of the shuffle that deals the pairs
+
+
+def classes(genes: DataFrame, results: int) -> DataFrame:
+    """``(id, s, ids)``: each distinct text that isn't too long to align, with the first ids that hold it, one more than ``results``."""
+    rank = F.row_number().over(Window.partitionBy("s").orderBy("id"))
+    first = genes.where(F.length("s") <= kernel.MOST).select("id", "s").withColumn("_r", rank).where(F.col("_r") <= results + 1)
+    return first.groupBy("s").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "s", "ids")
+
+
+def _aligned(both: DataFrame, kind: str, parallel: int) -> DataFrame:
+    """Pairs of a query with a class, aligned, one row for each of the class's ids other than the query."""
     from helixspark.functions import pairs as p
 
-    candidates = top(shared_kmers(kmer_index(queries, k, alphabet=alphabet), kmer_index(genes, k, alphabet=alphabet)), "shared", PER_RESULT * results).drop("rank")
     # a pair costs the product of its lengths, so pairs are dealt one by one, not query by query
-    both = with_sequences(candidates, genes).repartition(parallel or queries.sparkSession.sparkContext.defaultParallelism * 4, "query", "id")
-    done = both.select("query", "id", "shared", F.length("query_s").alias("_n"), align_udf(kind)("query_s", "s").alias("x")).where(F.col("x.score").isNotNull())
-    stats = p.statistics(F.col("query_aligned"), F.col("gene_aligned"))
-    found = done.select("query", "id", "shared", "_n", F.col("x.score").alias("score"), F.col("x.a").alias("query_aligned"), F.col("x.b").alias("gene_aligned"))
-    found = found.withColumn("_st", stats).withColumn("identity", p.identity(F.col("_st"))).withColumn("coverage", p.coverage(F.col("_st"), F.col("_n")))
-    return top(found, "identity", results).drop("_st", "_n")
+    done = both.repartition(parallel, "query", "id").select("query", "shared", F.length("query_s").alias("_n"), "ids", align_udf(kind)("query_s", "s").alias("x")).where(F.col("x.score").isNotNull())
+    st = p.statistics(F.col("query_aligned"), F.col("gene_aligned"))
+    found = done.select("query", "ids", "shared", "_n", F.col("x.score").alias("score"), F.col("x.a").alias("query_aligned"), F.col("x.b").alias("gene_aligned"))
+    found = found.withColumn("_st", st).withColumn("identity", p.identity(F.col("_st"))).withColumn("coverage", p.coverage(F.col("_st"), F.col("_n")))
+    return found.withColumn("id", F.explode("ids")).where("query <> id").select("query", "id", "shared", "score", "query_aligned", "gene_aligned", "identity", "coverage")
+
+
+def _last(found: DataFrame, results: int) -> DataFrame:
+    """``(query, _least)``: the identity that a further gene must reach to be among the ``results`` best of a query."""
+    best = top(found.select("query", "id", "identity"), "identity", results)
+    return best.groupBy("query").agg(F.when(F.count("*") >= results, F.min("identity")).otherwise(0.0).alias("_least"))
+
+
+def search(queries: DataFrame, genes: DataFrame, results: int = 5, kind: str = "dna", alphabet: str = "ACGT", k: int = K, parallel: int | None = None) -> DataFrame:
+    """The ``results`` most similar genes of each query: ``(query, rank, id, shared, score, query_aligned, gene_aligned)``.
+
+    Both have ``id`` and ``s``; a query doesn't find itself.  Equal texts are
+    one candidate.  The ``PER_RESULT`` times ``results`` candidates that share
+    most words with a query are aligned globally, then all others with a word
+    in common, but for those that can't reach the last result so far, by their
+    lengths or their longest common subsequence; rank is by identity over the
+    whole alignment, ties by id.  So the results are exact among the genes
+    that have a word in common with the query and are short enough to align.
+    """
+    parallel = parallel or queries.sparkSession.sparkContext.defaultParallelism * 8
+    each = classes(genes, results)
+    sizes = each.select("id", F.length("s").alias("_m"), F.size("ids").alias("_ids"))
+    pairs = shared_kmers(kmer_index(queries, k, alphabet=alphabet), kmer_index(each, k, alphabet=alphabet), itself=True).join(sizes, "id")
+    pairs = pairs.where("query <> id OR _ids > 1").join(queries.select(F.col("id").alias("query"), F.length("s").alias("_n")), "query")
+    pairs = pairs.withColumn("_most", 100 * F.least("_n", "_m") / F.greatest("_n", "_m"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), "id"))
+    pairs = checkpoint(pairs.withColumn("_rank", rank).select("query", "id", "shared", "_rank", "_most"))
+    texts = queries.select(F.col("id").alias("query"), F.col("s").alias("query_s"))
+    first = checkpoint(_aligned(pairs.where(F.col("_rank") <= PER_RESULT * results).join(texts, "query").join(each, "id"), kind, parallel))
+    rest = pairs.where(F.col("_rank") > PER_RESULT * results).join(_last(first, results), "query", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)))
+    rest = rest.where("_most >= _least").join(texts, "query").join(each, "id").repartition(parallel, "query", "id")
+    return top(first.unionByName(_aligned(rest.where(most_identity("query_s", "s") >= F.col("_least")), kind, parallel)), "identity", results)
+
+
+def brute_force(queries: DataFrame, genes: DataFrame, found: DataFrame, results: int = 5, kind: str = "dna", parallel: int | None = None) -> DataFrame:
+    """``(query, rank, id, identity)``: the ``results`` most similar of all genes, with or without a word in common.
+
+    Every pair is met; it is aligned unless its lengths or its longest common
+    subsequence show that it can't reach the last result of ``found``, so the
+    outcome doesn't depend on ``found``.
+    """
+    parallel = parallel or queries.sparkSession.sparkContext.defaultParallelism * 8
+    texts = queries.where(F.length("s") <= kernel.MOST).select(F.col("id").alias("query"), F.col("s").alias("query_s"))
+    least = F.coalesce("_least", F.lit(0.0))
+    asked = texts.join(_last(found, results), "query", "left").withColumn("_least", least)
+    n, m = F.length("query_s"), F.length("s")
+    every = asked.crossJoin(classes(genes, results)).where((F.col("query") != F.col("id")) | (F.size("ids") > 1)).where(100 * F.least(n, m) / F.greatest(n, m) >= F.col("_least"))
+    every = every.repartition(parallel, "query", "id").where(most_identity("query_s", "s") >= F.col("_least")).withColumn("shared", F.lit(None).cast("bigint"))
+    return top(_aligned(every, kind, parallel), "identity", results).select("query", "rank", "id", "identity")
+
+
+def recall(found: DataFrame, best: DataFrame) -> DataFrame:
+    """``(query, n_best, n_found)``: how many of a query's best genes a search has found."""
+    hits = found.select("query", "id", F.lit(1).alias("_hit"))
+    return best.join(hits, ["query", "id"], "left").groupBy("query").agg(F.count("*").alias("n_best"), F.count("_hit").alias("n_found"))
 
 
 def containment(queries: DataFrame, genes: DataFrame, least: int = K) -> DataFrame:
