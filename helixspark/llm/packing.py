@@ -2,7 +2,8 @@
 
 Conflict-constrained best fit.  Items come in descending size; open
 containers are kept in order of residual capacity and carry bitmaps of the
-duplicate clusters and of the sources they hold; an item goes to the
+duplicate clusters they hold and of the sources that have used up their places
+there; an item goes to the
 container with the least sufficient residual, and where that one conflicts
 the search goes on to the next larger residual until a compatible one is
 found.  Items larger than a container are split into full containers and a
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 #: Items per shard: each shard is packed by one task, and may leave one container poorly filled.
 SHARD = 8000
+#: Messages of one source that may share a container: as many as a container holds of average size.
+PER_SOURCE = 6
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level tokenizer splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,11 +52,13 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
     """Container number of each item; ``sizes`` at most ``capacity``, in the order they are to be placed.
 
     Two items of one cluster never share a container (negative clusters
-    conflict with nothing).  With ``per_source`` 1 neither do two of one source.
+    conflict with nothing), nor do more than ``per_source`` of one source,
+    unless that is 0.
     """
     opened: list[tuple[int, int]] = []  # (residual, container), in order
     held: list[int] = []  # bitmap of clusters of each container
-    fed: list[int] = []  # bitmap of sources
+    fed: list[int] = []  # bitmap of the sources that have no more places in it
+    taken: dict[tuple[int, int], int] = {}  # places by container and source
     out = []
     for size, cluster, source in zip(sizes, clusters, sources, strict=True):
         bit = 1 << cluster if cluster >= 0 else 0
@@ -68,7 +73,10 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
             held.append(0)
             fed.append(0)
         held[at] |= bit
-        fed[at] |= feed
+        if feed:
+            taken[at, source] = taken.get((at, source), 0) + 1
+            if taken[at, source] == per_source:
+                fed[at] |= feed
         if residual > size:
             insort(opened, (residual - size, at))
         out.append(at)
@@ -95,7 +103,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, per_sou
     whatever the source, cluster or order of the input, and a cluster that
     holds a third of all items is spread over all of them.  Pieces of an item
     larger than ``capacity`` are numbered from 0; an empty text takes no
-    space but has its place.  Containers are named by shard and number.
+    space but has its place.  A container holds at most ``per_source`` items
+    of one source (0: any number).  Containers are named by shard and number.
     """
     shards = max(1, -(-(items.count() if n_items is None else n_items) // shard))
 

@@ -57,7 +57,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return packing.pack(packing.sized(documents), n_items=documents.count())
+    return packing.pack(packing.sized(documents), per_source=packing.PER_SOURCE, n_items=documents.count())
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:

@@ -174,6 +174,21 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), capacity=100).count() == 0
 
 
+def test_places_per_source():
+    sizes, sources = [9] * 5 + [1] * 12, [0, 0, 0, 1, 1] + [0] * 9 + [1] * 3
+    at = packing.best_fit(sizes, [-1] * 17, sources, 50, 3)
+    held = Counter(zip(at, sources, strict=True))
+    assert max(held.values()) == 3 and len(set(at)) == 4
+
+
+def test_packed_query_bounds_sources(spark, tmp_path):
+    rows = [(i, "one" if i % 4 else "two", f"message {i}") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    source = {i: s for i, s, _ in rows}
+    held = Counter((r["container"], source[r["doc_id"]]) for r in queries.p8_packed(spark, str(tmp_path)).collect())
+    assert sum(held.values()) == 80 and max(held.values()) == packing.PER_SOURCE
+
+
 def test_tokens(spark):
     count = packing.token_counter()
     assert count("") == 0 and count("hello world") == 2 and count("<|endoftext|>") > 1 and count("a" * 100_000) > 1000
