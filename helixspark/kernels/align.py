@@ -196,6 +196,24 @@ def align_local(a: list[str], b: list[str], kind: str = "dna", gap: int = LOCAL_
     return out
 
 
+def insertions(x: str, y: str) -> tuple[list[str], list[str]]:
+    """Of a text ``y`` aligned with a centre ``x``: what it inserts before each letter of the centre and behind the last, and its letter at each."""
+    inserted, letters, run = [], [], ""
+    for c, d in zip(x, y, strict=True):
+        if c == "-":
+            run += d
+        else:
+            inserted.append(run)
+            letters.append(d)
+            run = ""
+    return [*inserted, run], letters
+
+
+def star_row(inserted: list[str], letters: list[str], widths) -> str:
+    """A row of the star alignment, its insertions padded to the widest of all rows."""
+    return "".join(r.ljust(w, "-") + (letters[i] if i < len(letters) else "") for i, (r, w) in enumerate(zip(inserted, widths, strict=True)))
+
+
 def star(texts: list[str], kind: str = "dna") -> list[str]:
     """ALN-06: Multiple alignment around the first text: once a gap, always a gap; rows of equal length."""
     if len(texts) < 2:
@@ -204,18 +222,7 @@ def star(texts: list[str], kind: str = "dna") -> list[str]:
     pairs = align_global([centre] * (len(texts) - 1), texts[1:], kind)
     # widest insertion before each letter of the centre, and behind the last
     widths = np.zeros(len(centre) + 1, dtype=int)
-    split = []
-    for x, y, _ in pairs:
-        inserted, letters, run = [], [], ""
-        for c, d in zip(x, y, strict=True):
-            if c == "-":
-                run += d
-            else:
-                inserted.append(run)
-                letters.append(d)
-                run = ""
-        inserted.append(run)
+    split = [insertions(x, y) for x, y, _ in pairs]
+    for inserted, _ in split:
         widths = np.maximum(widths, [len(r) for r in inserted])
-        split.append((inserted, letters))
-    rows = [([""] * (len(centre) + 1), list(centre)), *split]
-    return ["".join(r.ljust(w, "-") + (ls[i] if i < len(ls) else "") for i, (r, w) in enumerate(zip(ins, widths, strict=True))) for ins, ls in rows]
+    return [star_row(ins, ls, widths) for ins, ls in [([""] * (len(centre) + 1), list(centre)), *split]]

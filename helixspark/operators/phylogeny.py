@@ -1,21 +1,25 @@
 """Distances and trees of groups of sequences.
 
-A group's tree needs all of its distances at once, so trees are built group
-by group where one task holds one group's representatives; a group's
-representatives are its distinct texts, and at most ``MOST`` of them, the rest
-being reported, never dropped in silence.
+A group's distinct texts are all aligned with its first, pair by pair over the
+cluster.  A tree needs all distances of its leaves at once, so it is built in
+one task, from at most ``MOST`` representatives; every further text becomes
+the neighbour of its nearest representative.  Only texts too long to align
+are left out, and reported.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.kernels import align, trees
+from helixspark.session import checkpoint
 
-#: Members of a group that one tree may have; a distance matrix grows with its square.
+#: Representatives that a tree is built from; a distance matrix grows with their square.
 MOST = 64
 
 
@@ -51,37 +55,96 @@ def matrix(rows: list[str], method: str = "kimura") -> np.ndarray:
     return out
 
 
-def representatives(df: DataFrame, most: int = MOST) -> DataFrame:
-    """``(group, name, s, n_members, n_left)`` of the first ``most`` distinct texts per group; ``n_left`` counts the texts beyond."""
-    one = df.groupBy("group", "s").agg(F.min("name").alias("name"), F.count("*").alias("n_members"))
-    sizes = one.groupBy("group").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n_left"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy("name", "s"))
-    return one.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r").join(sizes, "group")
+def star_alignment(df: DataFrame, kind: str = "dna") -> DataFrame:
+    """``(group, name, aligned)`` of each distinct text of a group under its first name; ``aligned`` is null where a text is too long.
+
+    The centre is the first by name among the texts that can be aligned; the
+    work is linear in the texts and a group's texts are never in one task.
+    """
+    one = df.groupBy("group", "s").agg(F.min("name").alias("name"))
+    fits = F.length("s") <= align.MOST
+    centre = one.where(fits).groupBy("group").agg(F.min(F.struct("name", "s")).alias("_c")).select("group", F.col("_c.s").alias("_centre"))
+    parallel = df.sparkSession.sparkContext.defaultParallelism * 4
+
+    @F.pandas_udf("x string, y string, places array<int>, sizes array<int>")
+    def pair(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in batches:
+            rows, other = [], a != b
+            done = iter(align.align_global(a[other].tolist(), b[other].tolist(), kind))
+            for x, y, _ in (next(done) if o else (c, c, 0) for c, o in zip(a, other, strict=True)):
+                wide = [(i, len(r)) for i, r in enumerate(align.insertions(x, y)[0]) if r]
+                rows.append((x, y, [i for i, _ in wide], [n for _, n in wide]))
+            yield pd.DataFrame(rows, columns=["x", "y", "places", "sizes"])
+
+    @F.pandas_udf("string")
+    def row(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys, gaps in batches:
+            out = []
+            for x, y, gap in zip(xs, ys, gaps, strict=True):
+                inserted, letters = align.insertions(x, y)
+                widths = [0] * len(inserted)
+                for g in gap if gap is not None else ():
+                    widths[g["place"]] = g["size"]
+                out.append(align.star_row(inserted, letters, widths))
+            yield pd.Series(out, dtype="object")
+
+    pairs = checkpoint(one.where(fits).join(centre, "group").repartition(parallel, "group", "name").select("group", "name", pair("_centre", "s").alias("p")).select("group", "name", "p.*"))
+    gaps = pairs.select("group", F.explode(F.arrays_zip("places", "sizes")).alias("g")).groupBy("group", F.col("g.places").alias("place")).agg(F.max("g.sizes").alias("size"))
+    gaps = gaps.groupBy("group").agg(F.collect_list(F.struct("place", "size")).alias("_gaps"))
+    done = pairs.join(gaps, "group", "left").repartition(parallel, "group", "name").select("group", "name", row("x", "y", "_gaps").alias("aligned"))
+    return done.unionByName(one.where(~fits).select("group", "name", F.lit(None).cast("string").alias("aligned")))
+
+
+def _attached(edges: list, further: list[tuple[str, str, float]]) -> list:
+    """``edges`` with further leaves: a leaf that gains neighbours becomes an inner node at its place, with itself at length 0."""
+    by: dict[str, list[tuple[str, float]]] = {}
+    for name, near, d in further:
+        by.setdefault(near, []).append((name, d))
+    out = [(p, f"{c}+" if c in by else c, n) for p, c, n in edges]
+    for near, more in by.items():
+        out += [(f"{near}+", near, 0.0), *((f"{near}+", name, d) for name, d in more)]
+    return out
+
+
+def _nearest(row: str, heads: list[str], names: list[str], method: str) -> tuple[str, float]:
+    d = [distance(row, h, method) for h in heads]
+    at = int(np.argmin(np.where(np.isnan(d), np.inf, d)))
+    return names[at], d[at]
 
 
-def group_trees(df: DataFrame, method: str = "kimura", kind: str = "dna") -> DataFrame:
-    """``(group, n, n_left, upgma, neighbour_joining)``: trees in Newick of groups with three representatives at least."""
+def group_trees(df: DataFrame, method: str = "kimura", kind: str = "dna", most: int = MOST) -> DataFrame:
+    """``(group, n, n_placed, n_left, upgma, neighbour_joining)``: trees in Newick of groups with three distinct texts at least.
+
+    ``n`` leaves are in the tree, ``n_placed`` of them beside their nearest
+    representative; ``n_left`` texts are too long.
+    """
+    columns = ["group", "n", "n_placed", "n_left", "upgma", "neighbour_joining"]
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("name")
+        left = int(group["aligned"].isna().sum())
+        group = group[group["aligned"].notna()].sort_values("name")
         if len(group) < 3:
-            return pd.DataFrame([], columns=["group", "n", "n_left", "upgma", "neighbour_joining"])
-        names = group["name"].astype(str).tolist()
-        m = matrix(align.star(group["s"].tolist(), kind), method)
-        up = trees.newick(trees.upgma_edges(trees.upgma(m, names)))
-        return pd.DataFrame([(group["group"].iloc[0], len(group), int(group["n_left"].iloc[0]), up, trees.newick(trees.neighbour_joining(m, names)))], columns=["group", "n", "n_left", "upgma", "neighbour_joining"])
+            return pd.DataFrame([], columns=columns)
+        every, rows = group["name"].astype(str).tolist(), group["aligned"].tolist()
+        names, heads = every[:most], rows[:most]
+        m = matrix(heads, method)
+        further = [(name, *_nearest(r, heads, names, method)) for name, r in zip(every[most:], rows[most:], strict=True)]
+        up = trees.newick(_attached(trees.upgma_edges(trees.upgma(m, names)), further))
+        joined = trees.newick(_attached(trees.neighbour_joining(m, names), further))
+        return pd.DataFrame([(group["group"].iloc[0], len(every), len(further), left, up, joined)], columns=columns)
 
-    return representatives(df).groupBy("group").applyInPandas(build, "group string, n bigint, n_left bigint, upgma string, neighbour_joining string")
+    return star_alignment(df, kind).groupBy("group").applyInPandas(build, "group string, n bigint, n_placed bigint, n_left bigint, upgma string, neighbour_joining string")
 
 
 def group_alignment(df: DataFrame, kind: str = "dna") -> DataFrame:
-    """``(group, name, aligned, conservation)``: star alignment of each group and the percentage of columns with one letter."""
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("name")
-        rows = align.star(group["s"].tolist(), kind)
-        kept = sum(len({x for x in c if x != "-"}) == 1 for c in zip(*rows, strict=True))
-        share = 100 * kept / len(rows[0]) if rows and rows[0] else 0.0
-        return pd.DataFrame({"group": group["group"], "name": group["name"], "aligned": rows, "conservation": share})
-
-    return representatives(df).groupBy("group").applyInPandas(build, "group string, name string, aligned string, conservation double")
+    """``(group, name, aligned, conservation, n_left)``: star alignment of each group and the percentage of columns with one letter.
+
+    A text too long to align has a row without ``aligned``; ``n_left`` counts these.
+    """
+    rows = checkpoint(star_alignment(df, kind))
+    letters = rows.select("group", F.posexplode(F.split("aligned", "")).alias("col", "c")).where("c NOT IN ('', '-')")
+    columns = letters.groupBy("group", "col").agg((F.min("c") == F.max("c")).cast("int").alias("one"))
+    kept = columns.groupBy("group").agg(F.sum("one").alias("_kept"))
+    sizes = rows.groupBy("group").agg(F.max(F.length("aligned")).alias("_n"), F.count_if(F.col("aligned").isNull()).alias("n_left"))
+    share = F.when(F.col("_n") > 0, 100 * F.coalesce("_kept", F.lit(0)) / F.col("_n")).otherwise(0.0)
+    return rows.join(sizes, "group").join(kept, "group", "left").select("group", "name", "aligned", share.alias("conservation"), "n_left")

@@ -181,13 +181,13 @@ def identity_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def gene_trees(spark: SparkSession, d: str) -> DataFrame:
     """DST-05, DST-06, PHY-01, PHY-02, PHY-03, PHY-05: a tree for each gene delivered in three forms or more."""
-    rows = dna(spark, d, "gene_id", "symbol").select(key().alias("group"), F.col("id").cast("string").alias("name"), "s").where(F.col("group").isNotNull() & (F.length("s") <= 5000))
+    rows = dna(spark, d, "gene_id", "symbol").select(key().alias("group"), F.col("id").cast("string").alias("name"), "s").where(F.col("group").isNotNull())
     return phylogeny.group_trees(rows)
 
 
 def gene_alignments(spark: SparkSession, d: str) -> DataFrame:
     """ALN-06, AGG-14."""
-    rows = dna(spark, d, "gene_id", "symbol").select(key().alias("group"), F.col("id").cast("string").alias("name"), "s").where(F.col("group").isNotNull() & (F.length("s") <= 5000))
+    rows = dna(spark, d, "gene_id", "symbol").select(key().alias("group"), F.col("id").cast("string").alias("name"), "s").where(F.col("group").isNotNull())
     return phylogeny.group_alignment(rows)
 
 
