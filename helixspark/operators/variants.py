@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixspark import schema
 from helixspark.functions import pairs, seq
+from helixspark.kernels import align
 
 
 def columns(df: DataFrame) -> DataFrame:
@@ -67,6 +68,26 @@ def codon_consequence(reference: Column, query: Column) -> Column:
     return F.when(reference == query, "silent").when(query == "*", "nonsense").when(reference == "*", "readthrough").otherwise("missense")
 
 
+#: Residues by physicochemical group.
+GROUPS = {a: g for letters, g in (("AVLIMFWPG", "nonpolar"), ("STCYNQ", "polar"), ("DE", "acidic"), ("KRH", "basic")) for a in letters}
+
+
+def protein_substitutions(df: DataFrame) -> DataFrame:
+    """VAR-02, VAR-04: ``(pair, r_pos, q_pos, reference, query, class, reference_group, query_group, blosum62)`` of each differing column of protein pairs.
+
+    A substitution within a group is conservative, one between groups
+    radical; residues without a group (X, B, Z, *) leave it at substitution.
+    """
+    subs = columns(df).where((F.col("q") != "-") & (F.col("r") != "-") & (F.col("q") != F.col("r")))
+    group = lambda c: F.element_at(seq._map(GROUPS), c)
+    letters = sorted({*schema.BLOSUM_ORDER, *"BXZ*"})
+    scores = seq._map({a + b: align.score(a, b, "protein") for a in letters for b in letters})
+    kind = F.when(group(F.col("r")).isNull() | group(F.col("q")).isNull(), "substitution").when(group(F.col("r")) == group(F.col("q")), "conservative").otherwise("radical")
+    return subs.select(
+        "pair", F.col("r_pos").cast("bigint").alias("r_pos"), F.col("q_pos").cast("bigint").alias("q_pos"), F.col("r").alias("reference"), F.col("q").alias("query"),
+        kind.alias("class"), group(F.col("r")).alias("reference_group"), group(F.col("q")).alias("query_group"), F.element_at(scores, F.concat("r", "q")).cast("int").alias("blosum62"))
+
+
 def summary(found: DataFrame) -> DataFrame:
     """Substitutions per class and consequence."""
     return found.groupBy("class", "consequence").agg(F.count("*").alias("n"))

@@ -34,7 +34,7 @@ def kmer_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_shared_top(spark: SparkSession, d: str) -> DataFrame:
-    """JON-03, AGG-05, SIM-01, SIM-02, SRT-02: the ten genes that share most words with each query."""
+    """JON-03, AGG-05, SRT-02: the ten genes that share most words with each query."""
     genes = spread_dna(spark, d)
     shared = search.shared_kmers(search.kmer_index(_queries(genes)), search.kmer_index(genes))
     return search.top(shared, "shared", 10).select("query", "rank", "id", "shared")
@@ -81,7 +81,7 @@ def search_protein(spark: SparkSession, d: str) -> DataFrame:
 
 
 def translated_search(spark: SparkSession, d: str) -> DataFrame:
-    """ALN-08, SRT-08: for each query gene the protein, and the frame, that share most words of four residues."""
+    """SRT-08: for each query gene the protein, and the frame, that share most words of four residues; nothing is aligned, so not ALN-08."""
     frames = _queries(spread_dna(spark, d)).select("id", F.explode(seq.six_frames(F.col("s"))).alias("f")).select("id", "f.frame", F.substring_index(seq.amino_acids(F.col("f.bases")), "*", 1).alias("s"))
     words = frames.select("id", "frame", F.explode(seq.kmers(F.col("s"), 4)).alias("kmer"))
     index = search.kmer_index(spread(proteins(spark, d)), 4, alphabet="ACDEFGHIKLMNPQRSTVWY").withColumnRenamed("id", "protein")
@@ -156,10 +156,20 @@ def _best_aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variant_report(spark: SparkSession, d: str) -> DataFrame:
-    """VAR-01 to VAR-05, WIN-06."""
+    """VAR-01, VAR-02, VAR-03, VAR-05, WIN-06, on DNA."""
     return variants.substitutions(_best_aligned(spark, d))
 
 
+def protein_variants(spark: SparkSession, d: str) -> DataFrame:
+    """VAR-02, VAR-04: substitutions between each query protein and the protein that shares most words with it."""
+    rows = spread(proteins(spark, d))
+    index = lambda df: search.kmer_index(df, 6, alphabet="ACDEFGHIKLMNPQRSTVWY")
+    best = search.top(search.shared_kmers(index(_queries(rows)), index(rows)), "shared", 1)
+    both = search.with_sequences(best, rows).repartition(spark.sparkContext.defaultParallelism * 4, "query")
+    done = both.select(F.col("query").alias("pair"), search.align_udf("protein")("query_s", "s").alias("x")).where("x.score IS NOT NULL")
+    return variants.protein_substitutions(done.select("pair", F.col("x.a").alias("query_aligned"), F.col("x.b").alias("gene_aligned")))
+
+
 def variant_summary(spark: SparkSession, d: str) -> DataFrame:
     """AGG-06."""
     return variants.summary(variant_report(spark, d))
@@ -201,7 +211,7 @@ def recall(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     kmer_index, kmer_codes, kmer_shared_top, length_candidates, trigram_top, containment, search_align, search_recall, search_protein, translated_search, distances, protein_distances,
-    edit_distances, alignment_maps, local_alignments, variant_report, variant_summary, indel_blocks, identity_windows, gene_trees, gene_alignments, recall)}
+    edit_distances, alignment_maps, local_alignments, variant_report, protein_variants, variant_summary, indel_blocks, identity_windows, gene_trees, gene_alignments, recall)}
 
 _WORDS = f"SELECT DISTINCT id, substring(s, i, 12) AS kmer FROM (SELECT id, s, unnest(generate_series(1, length(s) - 11)) AS i FROM {SQL_DNA}) WHERE regexp_full_match(substring(s, i, 12), '[ACGT]+')"
 _FIRSTS = f"""
