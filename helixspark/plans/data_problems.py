@@ -25,7 +25,7 @@ def p1_lifespans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    return drift.unified(spark, table(spark, d, "genes"), table(spark, d, "loads"), _key())
+    return drift.unified(table(spark, d, "genes"), table(spark, d, "loads"), _key())
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -43,17 +43,38 @@ def test_drift_rename_needs_most_genes(spark):
     assert got == {(2, "old", "removed"), (2, "new", "added")}
 
 
-def test_previous_load_across_blocks(spark):
-    loads = spark.createDataFrame([(i, "f", s) for i, s in enumerate([1, 2, 999, 1000, 1001, 5000], 1)], "load_id bigint, feed string, load_seq int")
-    got = {r["load_id"]: r["prev_load"] for r in drift.previous_loads(loads, loads).collect()}
-    assert got == {1: None, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5}
+def test_places_and_islands_across_blocks(spark, monkeypatch):
+    seqs = [1, 2, 999, 1000, 1001, 5000]
+    loads = spark.createDataFrame([(i, "f", s) for i, s in enumerate(seqs, 1)] + [(10, None, None), (11, None, 3)], "load_id bigint, feed string, load_seq int")
+    place = drift.placed_loads(loads, loads)
+    assert {r["load_id"]: r["pos"] for r in place.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 10: 1, 11: 2}
+    monkeypatch.setattr(drift, "BLOCK", 2)
+    fields = spark.createDataFrame([(i, "a", "string") for i in (1, 2, 3, 5, 6)] + [(i, "b", "number") for i in (1, 2)] + [(3, "b", "string"), (4, "b", None), (10, "c", None)], "load_id bigint, field_name string, kind string")
+    spans = drift.lifespan_catalogue(fields, place)
+    assert {tuple(r) for r in spans.select("field_name", "kind", "first_pos", "last_pos", "n_loads").collect()} == {
+        ("a", "string", 1, 3, 3), ("a", "string", 5, 6, 2), ("b", "number", 1, 2, 2), ("b", "string", 3, 3, 1), ("b", None, 4, 4, 1), ("c", None, 1, 1, 1)}
+    log = drift.change_log(spans, place)
+    assert {(r["load_id"], r["prev_load"], r["field_name"], r["change_kind"]) for r in log.collect()} == {
+        (4, 3, "a", "removed"), (5, 4, "a", "added"), (3, 2, "b", "type_changed"), (5, 4, "b", "removed"), (11, 10, "c", "removed")}
+
+
+def test_unified_keeps_the_feeds_apart(spark):
+    """One feed renames ``a`` to ``b``; another holds both as two things."""
+    one = [[{"a": f"v{i}"} for i in range(6)], [{"b": f"v{i}"} for i in range(6)]]
+    two = [[{"a": "x", "b": "y"}], [{"a": "x", "b": "y"}]]
+    rows = genes_of(spark, one).unionByName(genes_of(spark, two).selectExpr("id + 10000 AS id", "gene_id", "symbol", "record", "load_id + 10 AS load_id", "kind"))
+    loads = loads_of(spark, 2, "one").unionByName(loads_of(spark, 2, "two").selectExpr("load_id + 10 AS load_id", "feed", "load_seq", "kind"))
+    got = [r.asDict() for r in drift.unified(rows, loads, KEY()).collect()]
+    assert len(got) == 14 and {(r["a"], r["b"]) for r in got if r["load_id"] > 10} == {("x", "y")}
+    first = [r for r in got if r["load_id"] < 10]
+    assert {(r["a"], r["b"]) for r in first} == {(f"v{i}", None) for i in range(6)}
 
 
 def test_lifespans_and_unified(spark):
     rows = genes_of(spark, [[{"a": 1}], [{"b": 1}], [{"a": 2, "id": 7}]])
     spans = {tuple(r) for r in drift.lifespans(rows, loads_of(spark, 3)).select("field_name", "first_seq", "last_seq").collect()}
     assert {("a", 1, 1), ("b", 2, 2), ("a", 3, 3)} <= spans
-    table = drift.unified(spark, rows, loads_of(spark, 3), KEY())
+    table = drift.unified(rows, loads_of(spark, 3), KEY())
     assert table.count() == 3 and "record_id" in table.columns
 
 
