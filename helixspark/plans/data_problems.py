@@ -57,14 +57,10 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     kmers, hits = table(spark, d, "gene_kmers"), table(spark, d, "search_hits")
     genes, assemblies, retired = (table(spark, d, n) for n in ("genes", "assemblies", "retired_genes"))
     key = norm_key(F.col("gene_key"))
-    return orphans.orphans(
-        [orphans.reference_deltas(kmers, "gene_kmers", key, F.col("indexed_at")), orphans.reference_deltas(hits, "search_hits", key, F.col("run_at"))],
-        [
-            orphans.existence_deltas(genes, _key(), F.col("date_added")),
-            orphans.existence_deltas(assemblies, key, F.col("date_added")),
-            orphans.existence_deltas(retired, key, retired=True),
-        ],
-    )
+    references = [orphans.reference_deltas(kmers, "gene_kmers", key, F.col("indexed_at")), orphans.reference_deltas(hits, "search_hits", key, F.col("run_at"))]
+    existence = [orphans.existence_deltas(genes, _key(), F.col("date_added")), orphans.existence_deltas(assemblies, key, F.col("date_added")), orphans.retirement_deltas(retired, key)]
+    # the tables name disjoint references, and a reference state is folded already
+    return orphans.orphans(references[0].unionByName(references[1]), orphans.fold(existence))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,5 +115,7 @@ FROM gene_kmers WHERE kmer IS NOT NULL GROUP BY kmer""",
     "p4_gene_profile": f"""
 SELECT {_NORM} AS gene_key, count(*) AS n_rows, count(DISTINCT kmer) AS n_members, min(pos) AS min_pos, max(pos) AS max_pos
 FROM gene_kmers WHERE {_NORM} IS NOT NULL GROUP BY 1""",
+    "p6_report": _ORPHANS + """
+SELECT ref_table, ref_month, reason, count(DISTINCT gene_key) AS n_keys, count(*) AS n_refs FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2, 3""",
     "p6_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_month, gene_key, reason FROM judged WHERE reason IS NOT NULL",
 }

@@ -158,13 +158,33 @@ def test_orphans(spark):
     known = spark.createDataFrame([("A", day(3)), ("a", None), ("a", day(4)), ("BACK", day(1)), ("undated", None)], "gene_key string, at timestamp")
     retired = spark.createDataFrame([("gone",), ("back",), ("unused",)], "gene_key string")
     key = norm_key(F.col("gene_key"))
-    exist = [orphans.existence_deltas(known, key, F.col("at")), orphans.existence_deltas(retired, key, retired=True)]
-    found = orphans.orphans([orphans.reference_deltas(refs, "t", key, F.col("at"))], exist)
+    exist = orphans.fold([orphans.existence_deltas(known, key, F.col("at")), orphans.retirement_deltas(retired, key)])
+    found = orphans.orphans(orphans.reference_deltas(refs, "t", key, F.col("at")), exist)
     assert {tuple(r) for r in found.collect()} == {("t", "2020-01", "A", "early", 2), ("t", "2020-02", "GONE", "deleted", 1), ("t", "2020-02", "NEVER", "missing", 1)}
-    assert orphans.orphans([orphans.reference_deltas(refs.limit(0), "t", key, F.col("at"))], exist).count() == 0
+    assert orphans.orphans(orphans.reference_deltas(refs.limit(0), "t", key, F.col("at")), exist).count() == 0
     assert {(r["reason"], r["n_keys"], r["n_refs"]) for r in orphans.orphan_report(found).collect()} == {("early", 1, 2), ("deleted", 1, 1), ("missing", 1, 1)}
 
 
+def test_orphans_by_batches(spark):
+    """A key orphaned, restored, orphaned again, and at last no longer referred to; only early references count as early."""
+    day = lambda m: datetime(2020, m, 1)
+    keyed = lambda *rows: spark.createDataFrame(list(rows), "gene_key string, at timestamp")
+    key, at = norm_key(F.col("gene_key")), F.col("at")
+    refs = orphans.fold([orphans.reference_deltas(keyed(("x", day(1)), ("x", day(1)), ("x", day(6))), "t", key, at)])
+    exist = orphans.fold([orphans.existence_deltas(keyed(("other", day(1))), key, at)])
+    report = lambda: {tuple(r)[1:] for r in orphans.orphans(refs, exist).collect()}
+    assert report() == {("2020-01", "X", "missing", 2), ("2020-06", "X", "missing", 1)}
+    exist = orphans.fold([orphans.existence_deltas(keyed(("X ", day(3)), ("x", day(2))), key, at)], exist)
+    assert report() == {("2020-01", "X", "early", 2)}
+    exist = orphans.fold([orphans.existence_deltas(keyed(("x", day(2)),), key, at, sign=-1)], exist)
+    assert report() == {("2020-01", "X", "early", 2)}
+    exist = orphans.fold([orphans.existence_deltas(keyed(("x", day(3)),), key, at, sign=-1), orphans.retirement_deltas(keyed(("x", day(4))), key)], exist)
+    assert report() == {("2020-01", "X", "deleted", 2), ("2020-06", "X", "deleted", 1)}
+    refs = orphans.fold([orphans.reference_deltas(keyed(("x", day(1)), ("x", day(1))), "t", key, at, sign=-1)], refs)
+    assert report() == {("2020-06", "X", "deleted", 1)}
+    assert refs.count() == 1 and exist.where("gene_key = 'X'").agg(F.sum("n")).first()[0] == 0
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p4_found", "p6_found"])
 def test_schemas(spark, small, name):
     import __spark_entry__
