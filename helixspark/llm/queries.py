@@ -27,6 +27,10 @@ def p3_source_quality(spark: SparkSession, d: str) -> DataFrame:
     return survivor.source_quality(table(spark, d, "genes"), table(spark, d, "sources"))
 
 
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.agreement(table(spark, d, "genes"), table(spark, d, "sources"))
+
+
 def _organisms(spark: SparkSession, d: str) -> DataFrame:
     species = table(spark, d, "species")
     exact = species.select(F.col("name").alias("organism")).where(F.col("organism").isNotNull()).distinct()
@@ -80,7 +84,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p5_found, p5_report, p7_found, p7_shares, p8_packed, p8_fill, p9_found, p9_items, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p3_agreement, p5_found, p5_report, p7_found, p7_shares, p8_packed, p8_fill, p9_found, p9_items, p10_found, p10_rates)}
 
 _STAND_INS = ", ".join(f"'{w}'" for w in STAND_INS)
 _BARE = r"regexp_replace(sequence, '\s+', '', 'g')"
