@@ -22,8 +22,10 @@ from helixspark.llm import mail, spans
 SPAN = 12
 GRAM = 8
 WINDOW = SPAN - GRAM + 1
-#: Words of all items together up to which their index travels with the tasks (16 bytes a word).
-MOST_WORDS = 2_000_000
+#: Bytes of all items together up to which they travel with the tasks, whatever their script; more are joined by fingerprint.
+MOST_BYTES = 16 << 20
+#: Parts over which the texts that share one fingerprint are dealt.
+SALT = 16
 #: A word that no text holds, between the parts of a message.
 _BREAK = 0
 
@@ -102,24 +104,28 @@ def _agree(a: Column, b: Column, most: int, from_end: bool) -> Column:
     return F.size(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda i: F.when((i <= F.size(a)) & (i <= F.size(b)), ok(i)).otherwise(False)))
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", as_mail: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", as_mail: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Distinct ``(doc_id, item_id)``: the document holds at least ``SPAN`` consecutive words of the item.
 
     Words are runs of letters and digits, case ignored.  Documents are read as
     mail (encodings and markup undone) unless ``as_mail`` is false; a passage
     doesn't run across the parts of a message.  Null and empty texts and
     items shorter than ``SPAN`` words match nothing; repeated items are found
-    each.  Items of at most ``most_words`` words together are matched where
-    the documents are read; more are joined by fingerprint.
+    each.  Items of at most ``most_bytes`` bytes together are matched where
+    the documents are read; more are joined by fingerprint, the texts of a
+    fingerprint that very many share (a disclaimer, say) dealt to ``SALT``
+    tasks.
     """
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     tests = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    size = tests.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    if size > most_words:
+    size = tests.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
+    if size > most_bytes:
         side = SPAN - GRAM
-        a, b = _prints(docs, "doc_id", as_mail).alias("a"), _prints(tests, "item_id", False).alias("b")
+        dealt = _prints(docs, "doc_id", as_mail).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
+        every = _prints(tests, "item_id", False).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+        a, b = dealt.alias("a"), every.alias("b")
         reach = _agree(F.col("a.before"), F.col("b.before"), side, True) + _agree(F.col("a.after"), F.col("b.after"), side, False)
-        joined = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.gram") == F.col("b.gram"))).where(reach >= side)
+        joined = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.gram") == F.col("b.gram"))).where(reach >= side)
         return joined.select("doc_id", "item_id").distinct()
     listed = [(r["item_id"], r["text"]) for r in tests.collect()]
     shared = documents.sparkSession.sparkContext.broadcast(listed)

@@ -61,24 +61,38 @@ def _split(text: str) -> tuple[dict[str, str], str, bool]:
 
 
 def parse(text: str) -> Message:
-    """Parts of a message in order; text without headers is one plain part."""
-    text = text.replace("\r\n", "\n")
-    headers, body, ended = _split(text)
+    """Parts of a message in order; text without headers is one plain part.
+
+    Parts within parts are opened however deep they lie, forwarded messages
+    (``message/rfc822``) too, whose transfer encoding is undone first.  The
+    stack is explicit.
+    """
+    headers, body, ended = _split(text.replace("\r\n", "\n"))
     message = Message(headers, headers_end=ended)
-    _collect(headers, body, message, 0)
+    stack = [(headers, body, True)]
+    while stack:
+        inner, content, closed = stack.pop()
+        kind = inner.get("content-type", "text/plain")
+        mark = _BOUNDARY.search(kind) if kind.lower().startswith("multipart") else None
+        if mark:
+            # the last part comes first on the stack, so parts come out in order
+            stack += reversed(_parts(content, mark[1] or mark[2], message))
+            continue
+        charset = _CHARSET.search(kind)
+        part = Part(
+            kind.partition(";")[0].strip().lower(), inner.get("content-transfer-encoding", "7bit").strip().lower(), charset[1] if charset else "utf-8", content, closed)
+        held = _split(decode(part).lstrip("\n")) if part.kind == "message/rfc822" else ({}, "", True)
+        if held[0]:
+            stack.append((held[0], held[1], closed))
+        else:
+            message.parts.append(part)
     return message
 
 
-def _collect(headers: dict[str, str], body: str, message: Message, depth: int, closed: bool = True) -> None:
-    kind = headers.get("content-type", "text/plain")
-    mark = _BOUNDARY.search(kind) if kind.lower().startswith("multipart") and depth < 20 else None
-    if not mark:
-        charset = _CHARSET.search(kind)
-        message.parts.append(Part(
-            kind.partition(";")[0].strip().lower(), headers.get("content-transfer-encoding", "7bit").strip().lower(), charset[1] if charset else "utf-8", body, closed))
-        return
-    line = "--" + (mark[1] or mark[2])
-    pieces = re.split(rf"(?m)^{re.escape(line)}(--)?[ \t]*(?:\n|\Z)", body)
+def _parts(body: str, boundary: str, message: Message) -> list[tuple[dict[str, str], str, bool]]:
+    """``(headers, body, closed)`` of each piece between boundaries; marks the message where one stays open."""
+    out = []
+    pieces = re.split(rf"(?m)^--{re.escape(boundary)}(--)?[ \t]*(?:\n|\Z)", body)
     # pieces: preamble, end mark, part, end mark, part, ...
     finished = False
     for i in range(1, len(pieces) - 1, 2):
@@ -91,9 +105,10 @@ def _collect(headers: dict[str, str], body: str, message: Message, depth: int, c
         last = i + 3 > len(pieces)
         if not ended and last:
             message.headers_end = False
-        _collect(inner, content.removesuffix("\n") if not last else content, message, depth + 1, not last)
+        out.append((inner, content.removesuffix("\n") if not last else content, not last))
     if not finished:
         message.closed = False
+    return out
 
 
 def decode(part: Part) -> str:

@@ -263,9 +263,27 @@ def test_mail():
     assert not message.closed and mail.parse(mime("7bit", "x")).closed
     nested_part = mime("7bit", "--=_y\n\ninner\n--=_y--", "multipart/alternative; boundary==_y")
     assert [t.strip() for t in mail.seen(nested_part)] == ["inner"]
-
-
-@pytest.mark.parametrize("most", [contamination.MOST_WORDS, 0])
+    deep = "innermost"
+    for i in range(60):
+        deep = f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n{deep if i else 'Content-Type: text/plain' + chr(10) * 2 + deep}\n--b{i}--\n"
+    assert [t.strip() for t in mail.seen(deep)] == ["innermost"] and mail.parse(deep).closed
+    sent = base64.b64encode(b"forwarded words").decode()
+    inner = f"Subject: fw\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\n\n{sent}"
+    for encoding, body in (("7bit", inner), ("base64", base64.b64encode(inner.encode()).decode())):
+        assert [t.strip() for t in mail.seen(mime(encoding, body, "message/rfc822"))] == ["forwarded words"]
+        assert [t.strip() for t in mail.seen(mime(encoding, mime("7bit", body, "message/rfc822") if encoding == "7bit" else body, "message/rfc822"))] == ["forwarded words"]
+    assert mail.seen(mime("7bit", "no headers here", "message/rfc822")) == ["no headers here"]
+
+
+def test_items_in_scripts_without_blanks_count_by_bytes(spark, monkeypatch):
+    """Few words by white space, many bytes: joined, not sent to the tasks."""
+    items = spark.createDataFrame([(1, "語" * 4000 + " " + ITEM)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x " + ITEM)], "doc_id bigint, text string")
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    assert [tuple(r) for r in contamination.leaks(docs, items, most_bytes=10_000).collect()] == [(1, 1)]
+
+
+@pytest.mark.parametrize("most", [contamination.MOST_BYTES, 0])
 def test_leaks(spark, most):
     texts = [
         ITEM, " ".join(W[:12]), " ".join(W[:11]), "> " + "\n> | ".join(W).upper(), ", ".join(W[1:13]) + "!", " ".join(W[:6]) + " and " + " ".join(W[6:]), None, "", "x " * 3000 + ITEM + " y" * 3000,
@@ -273,10 +291,10 @@ def test_leaks(spark, most):
     ]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([(1, ITEM, "s", "t"), (2, " ".join(W[:11]), "s", "t"), (3, None, "s", "t"), (4, ITEM, "s", "t"), (5, "", "s", "t")], "item_id bigint, text string, suite string, split_name string")
-    got = [tuple(r) for r in contamination.leaks(docs, items, most_words=most).collect()]
+    got = [tuple(r) for r in contamination.leaks(docs, items, most_bytes=most).collect()]
     assert set(got) == {(d, i) for d in (0, 1, 3, 4, 8, 9, 10, 11) for i in (1, 4)} and len(got) == len(set(got))
-    assert contamination.leaks(docs.limit(0), items, most_words=most).count() == 0 and contamination.leaks(docs, items.limit(0), most_words=most).count() == 0
-    counts = {r["item_id"]: r["n_docs"] for r in contamination.leaked_items(contamination.leaks(docs, items, most_words=most), items).collect()}
+    assert contamination.leaks(docs.limit(0), items, most_bytes=most).count() == 0 and contamination.leaks(docs, items.limit(0), most_bytes=most).count() == 0
+    counts = {r["item_id"]: r["n_docs"] for r in contamination.leaked_items(contamination.leaks(docs, items, most_bytes=most), items).collect()}
     assert counts == {1: 8, 2: 0, 3: 0, 4: 8, 5: 0}
 
 
