@@ -59,6 +59,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).shares()
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).links()
+
+
+def p7_members(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).members().select("cid", "id", "key")
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return packing.pack(packing.sized(documents), per_source=packing.PER_SOURCE, n_items=documents.count())
@@ -84,7 +92,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p3_agreement, p5_found, p5_report, p7_found, p7_shares, p8_packed, p8_fill, p9_found, p9_items, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_truth, p3_source_quality, p3_agreement, p5_found, p5_report, p7_found, p7_shares, p7_links, p7_members, p8_packed, p8_fill, p9_found, p9_items, p10_found, p10_rates)}
 
 _STAND_INS = ", ".join(f"'{w}'" for w in STAND_INS)
 _BARE = r"regexp_replace(sequence, '\s+', '', 'g')"
@@ -101,6 +109,15 @@ v AS (SELECT c.*, trust_rank FROM c LEFT JOIN src USING (sp) WHERE v IS NOT NULL
 n AS (SELECT k FROM g WHERE k IS NOT NULL GROUP BY k HAVING count(*) >= 2)
 SELECT k AS gene_key, f AS field_name, id FROM v WHERE k IN (SELECT k FROM n)
 QUALIFY row_number() OVER (PARTITION BY k, f ORDER BY coalesce(trust_rank, 2147483647), date_added DESC NULLS LAST, id DESC) = 1""",
+    "p7_members": f"""
+WITH g AS (SELECT id, {SQL_KEY} AS key, upper({_BARE}) AS s FROM genes WHERE length({_BARE}) >= 64 AND {SQL_KEY} IS NOT NULL)
+SELECT min(id) OVER (PARTITION BY s) AS cid, id, key FROM g""",
+    "p7_shares": f"""
+WITH g AS (SELECT id, {SQL_KEY} AS k, upper({_BARE}) AS s FROM genes WHERE length({_BARE}) >= 64 AND {SQL_KEY} IS NOT NULL),
+w AS (SELECT id, k, i, hash(substring(s, i, 64)) AS x FROM (SELECT *, unnest(generate_series(1, length(s) - 63)) AS i FROM g)),
+m AS (SELECT x FROM w GROUP BY x HAVING min(k) <> max(k)), f AS (SELECT id, i FROM w SEMI JOIN m USING (x)),
+c AS (SELECT id, least(64, coalesce(i - lag(i) OVER (PARTITION BY id ORDER BY i), 64)) AS fresh FROM f)
+SELECT id, length(s) AS n_letters, CAST(coalesce(n, 0) AS BIGINT) AS n_shared FROM g LEFT JOIN (SELECT id, sum(fresh) AS n FROM c GROUP BY id) USING (id)""",
     "p7_found": f"""
 WITH g AS (SELECT id, {SQL_KEY} AS k, upper({_BARE}) AS s FROM genes WHERE length({_BARE}) >= 64 AND {SQL_KEY} IS NOT NULL),
 w AS (SELECT DISTINCT id, k, hash(substring(s, i, 64)) AS x, substring(s, i, 64) AS t FROM (SELECT *, unnest(generate_series(1, length(s) - 63)) AS i FROM g)),

@@ -6,6 +6,11 @@ letters holds one; anchors seen under one key only are dropped by an
 algebraic minimum and maximum; the others are joined and extended.  An
 anchor shared by very many classes is first replaced by the windows of
 ``least`` letters around it, so that only true matches pair up.
+
+A span of ``least`` letters holds an anchor near each of its ends, so an
+extension need not go further than the slack on either side: what is extended
+along one diagonal joins up to the maximal repeat.  How much of a row is
+shared asks for no pairs at all, only for windows that occur under two keys.
 """
 
 from __future__ import annotations
@@ -18,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.session import checkpoint
+
 LEAST = 64
 K = 48
 #: Classes per anchor beyond which the windows around it are matched instead of the anchor.
 HOT = 64
+#: Parts over which the rows of one class are dealt when they pair up among themselves.
+SALT = 8
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -111,96 +120,117 @@ class SharedSpans:
 
     def __init__(self, rows: DataFrame, least: int = LEAST, k: int = K, hot: int = HOT):
         self.least, self.k, self.hot = least, k, hot
-        rows = rows.where(F.col("key").isNotNull() & (F.length("text") >= least))
-        self.rows = rows.select("id", "key", "text", F.md5("text").alias("_sum"))
+        self.rows = rows.where(F.col("key").isNotNull() & (F.length("text") >= least)).select("id", "key", "text", F.md5("text").alias("_sum"))
         khash = F.xxhash64("key")
-        self.classes = self.rows.groupBy("_sum").agg(F.min("id").alias("cid"), F.min(khash).alias("klo"), F.max(khash).alias("khi"))
-        self.members = self.rows.select("id", "key", "_sum").join(self.classes, "_sum").select("cid", "id", "key", "klo", "khi")
-        self.texts = self.rows.select("id", "text").join(self.classes.drop("_sum"), F.col("id") == F.col("cid")).drop("id")
+        first = self.rows.groupBy("_sum").agg(F.min(F.struct("id", "text")).alias("_f"), F.min(khash).alias("klo"), F.max(khash).alias("khi"))
+        #: ``(_sum, cid, text, klo, khi)``: each distinct text once, named by its least id, with the range of its keys' hashes.
+        self.texts = checkpoint(first.select("_sum", F.col("_f.id").alias("cid"), F.col("_f.text").alias("text"), "klo", "khi"))
+        self._seeds: DataFrame | None = None
+
+    def members(self) -> DataFrame:
+        """``(cid, id, key, n_letters, klo, khi)``: the class of every row that takes part."""
+        rows = self.rows.select("id", "key", "_sum", F.length("text").alias("n_letters")).distinct()
+        return rows.join(self.texts.drop("text"), "_sum").drop("_sum")
 
     def seeds(self) -> DataFrame:
-        """Anchors that occur under more than one key, with the letters around them."""
+        """Anchors that occur under more than one key, with the letters around them; found once, read by all that follows."""
+        if self._seeds is None:
+            slack = self.least - self.k
+            every = anchors(self.texts, self.k, slack + 1)
+            spread = every.groupBy("h").agg(F.min("klo").alias("_lo"), F.max("khi").alias("_hi"), F.count("*").alias("df")).where("_lo <> _hi")
+            kept = every.join(spread.select("h", "df"), "h").join(self.texts.select("cid", "text"), "cid")
+            pos = F.col("pos")
+            self._seeds = checkpoint(kept.select(
+                "h", "cid", "pos", "klo", "khi", "df",
+                F.substring("text", pos + 1 - F.least(pos, F.lit(slack)), F.least(pos, F.lit(slack))).alias("before"),
+                F.substring("text", pos + 1, F.lit(self.k)).alias("seed"),
+                F.substring("text", pos + 1 + self.k, F.lit(slack)).alias("after")))
+        return self._seeds
+
+    def _windows(self, seeds: DataFrame) -> DataFrame:
+        """``(cid, klo, khi, pos, letters)``: the windows of ``least`` letters that hold one of the seeds."""
         slack = self.least - self.k
-        every = anchors(self.texts, self.k, slack + 1)
-        spread = every.groupBy("h").agg(F.min("klo").alias("_lo"), F.max("khi").alias("_hi"), F.count("*").alias("df")).where("_lo <> _hi")
-        kept = every.join(spread.select("h", "df"), "h").join(self.texts.select("cid", "text"), "cid")
-        pos = F.col("pos")
-        return kept.select(
-            "h", "cid", "pos", "klo", "khi", "df",
-            F.substring("text", pos + 1 - F.least(pos, F.lit(slack)), F.least(pos, F.lit(slack))).alias("before"),
-            F.substring("text", pos + 1, F.lit(self.k)).alias("seed"),
-            F.substring("text", pos + 1 + self.k, F.lit(slack)).alias("after"))
+        around = F.concat("before", "seed", "after")
+        each = seeds.select("cid", "klo", "khi", (F.col("pos") - F.length("before")).alias("_from"), around.alias("_around"), F.explode(F.sequence(F.lit(0), F.lit(slack))).alias("_i"))
+        each = each.select("cid", "klo", "khi", (F.col("_from") + F.col("_i")).alias("pos"), F.substring("_around", F.col("_i") + 1, F.lit(self.least)).alias("letters"))
+        return each.where(F.length("letters") == self.least)
 
     def hits(self) -> DataFrame:
-        """``(cid_a, pos_a, cid_b, pos_b)``: a place in two classes, ``cid_a < cid_b``, within a shared span long enough."""
+        """``(cid_a, start_a, cid_b, start_b, n)``: seeds of two classes, ``cid_a < cid_b``, extended by up to the slack both ways to at least ``least`` letters."""
         slack = self.least - self.k
         seeds = self.seeds()
         cold = seeds.where(F.col("df") <= self.hot)
         a, b = cold.alias("a"), cold.alias("b")
-        reach = _agree(F.col("a.before"), F.col("b.before"), slack, True) + _agree(F.col("a.after"), F.col("b.after"), slack, False)
+        left, right = _agree(F.col("a.before"), F.col("b.before"), slack, True), _agree(F.col("a.after"), F.col("b.after"), slack, False)
         same = (F.col("a.h") == F.col("b.h")) & (F.col("a.cid") < F.col("b.cid")) & _differ("a", "b") & (F.col("a.seed") == F.col("b.seed"))
-        place = [F.col("a.cid").alias("cid_a"), F.col("a.pos").alias("pos_a"), F.col("b.cid").alias("cid_b"), F.col("b.pos").alias("pos_b")]
-        found = a.join(b, same).where(reach >= slack).select(*place)
+        found = a.join(b, same).withColumn("_l", left).withColumn("n", F.col("_l") + right + self.k).where(F.col("n") >= self.least)
+        found = found.select(F.col("a.cid").alias("cid_a"), (F.col("a.pos") - F.col("_l")).alias("start_a"), F.col("b.cid").alias("cid_b"), (F.col("b.pos") - F.col("_l")).alias("start_b"), "n")
         # beyond the bound on cold anchors: the same spans by their own letters
-        around = F.concat("before", "seed", "after")
-        windows = seeds.where(F.col("df") > self.hot).select(
-            "cid", "klo", "khi", F.col("pos") - F.length("before"), around.alias("_around"),
-            F.explode(F.sequence(F.lit(0), F.lit(slack))).alias("_i")).toDF("cid", "klo", "khi", "_from", "_around", "_i")
-        windows = windows.select("cid", "klo", "khi", (F.col("_from") + F.col("_i")).alias("pos"), F.substring("_around", F.col("_i") + 1, F.lit(self.least)).alias("letters"))
-        windows = windows.where(F.length("letters") == self.least).distinct()
+        windows = self._windows(seeds.where(F.col("df") > self.hot)).distinct()
         spread = windows.groupBy("letters").agg(F.min("klo").alias("_lo"), F.max("khi").alias("_hi")).where("_lo <> _hi")
         windows = windows.join(spread.select("letters"), "letters", "left_semi")
         a, b = windows.alias("a"), windows.alias("b")
         same = (F.col("a.letters") == F.col("b.letters")) & (F.col("a.cid") < F.col("b.cid")) & _differ("a", "b")
-        return found.unionByName(a.join(b, same).select(*place))
+        return found.unionByName(a.join(b, same).select(
+            F.col("a.cid").alias("cid_a"), F.col("a.pos").alias("start_a"), F.col("b.cid").alias("cid_b"), F.col("b.pos").alias("start_b"), F.lit(self.least).alias("n")))
+
+    def repeats(self) -> DataFrame:
+        """``(cid_a, start_a, cid_b, start_b, n)``: the maximal repeats of at least ``least`` letters between classes that have different keys.
+
+        Extended seeds of one diagonal that touch are one repeat; a window
+        here holds the seeds of one diagonal of two texts.
+        """
+        diagonal = ["cid_a", "cid_b", "_d"]
+        order = Window.partitionBy(*diagonal).orderBy("start_a", "n")
+        hits = self.hits().withColumn("_d", F.col("start_a") - F.col("start_b"))
+        reach = F.max(F.col("start_a") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = (F.col("start_a") > F.coalesce(reach, F.lit(-1))).cast("int")
+        marked = hits.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order))
+        whole = marked.groupBy(*diagonal, "_island").agg(F.min("start_a").alias("start_a"), F.min("start_b").alias("start_b"), F.max(F.col("start_a") + F.col("n")).alias("_end"))
+        return whole.select("cid_a", "start_a", "cid_b", "start_b", (F.col("_end") - F.col("start_a")).alias("n"))
+
+    def links(self) -> DataFrame:
+        """``(cid_a, cid_b, n_repeats, longest)``: classes that share a span; with ``members`` this names every pair of rows without listing it."""
+        return self.repeats().groupBy("cid_a", "cid_b").agg(F.count("*").alias("n_repeats"), F.max("n").alias("longest"))
 
     def pairs(self) -> DataFrame:
-        """``(id_a, id_b)``, ``id_a < id_b``: rows of different keys that share a span; repeated rows give a pair each."""
-        m = self.members
+        """``(id_a, id_b)``, ``id_a < id_b``: rows of different keys that share a span; a row given twice counts once."""
+        m = checkpoint(self.members().drop("n_letters"))
         classes = self.hits().select("cid_a", "cid_b").distinct()
         left = m.select(F.col("cid").alias("cid_a"), F.col("id").alias("_a"), F.col("key").alias("_ka"))
         right = m.select(F.col("cid").alias("cid_b"), F.col("id").alias("_b"), F.col("key").alias("_kb"))
         across = classes.join(left, "cid_a").join(right, "cid_b").where("_ka <> _kb")
-        mixed = m.where("klo <> khi")
-        within = mixed.alias("a").join(mixed.alias("b"), (F.col("a.cid") == F.col("b.cid")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.key") != F.col("b.key")))
-        both = across.select("_a", "_b").unionByName(within.select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b")))
-        return both.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b")).distinct()
-
-    def intervals(self) -> DataFrame:
-        """``(cid, start, end)``: maximal repeats of each class, seeds extended both ways as far as the letters agree."""
-
-        @F.pandas_udf("start int, end int")
-        def extend(a: pd.Series, i: pd.Series, b: pd.Series, j: pd.Series) -> pd.DataFrame:
-            out = []
-            for x, p, y, q in zip(a, i, b, j, strict=True):
-                lo = 0
-                while lo < p and lo < q and x[p - lo - 1] == y[q - lo - 1]:
-                    lo += 1
-                hi, most = 0, min(len(x) - p, len(y) - q)
-                while hi < most and x[p + hi] == y[q + hi]:
-                    hi += 1
-                out.append((p - lo, p + hi))
-            return pd.DataFrame(out, columns=["start", "end"])
-
-        hits = self.hits()
-        two = hits.unionByName(hits.select(F.col("cid_b").alias("cid_a"), F.col("pos_b").alias("pos_a"), F.col("cid_a").alias("cid_b"), F.col("pos_a").alias("pos_b")))
-        t = self.texts.select("cid", "text")
-        joined = two.join(t.toDF("cid_a", "text_a"), "cid_a").join(t.toDF("cid_b", "text_b"), "cid_b")
-        found = joined.select(F.col("cid_a").alias("cid"), extend("text_a", "pos_a", "text_b", "pos_b").alias("x")).select("cid", "x.*").distinct()
-        return found.where(F.col("end") - F.col("start") >= self.least)
+        mixed = m.where("klo <> khi").select("cid", "id", "key")
+        # one text may stand under a third of all keys
+        one = mixed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).alias("a")
+        two = mixed.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALT))).alias("b")
+        same = (F.col("a.cid") == F.col("b.cid")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.key") != F.col("b.key"))
+        within = one.join(two, same).select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b"))
+        # each row has one class, so no pair comes twice
+        return across.select("_a", "_b").unionByName(within).select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
+
+    def stretches(self) -> DataFrame:
+        """``(cid, start, end)``: the stretches of each class covered by spans that occur in another class under another key.
+
+        Linear in the letters: a window of ``least`` letters is shared if the
+        least and the greatest of its keys differ, however many classes hold
+        it.  Windows are compared by 128 bits of hash.
+        """
+        pair = [F.xxhash64("letters").alias("_x"), F.xxhash64("letters", F.lit(1)).alias("_y")]
+        windows = self._windows(self.seeds()).select("cid", "pos", "klo", "khi", *pair)
+        shared = windows.groupBy("_x", "_y").agg(F.min("klo").alias("_lo"), F.max("khi").alias("_hi")).where("_lo <> _hi")
+        held = windows.select("cid", "pos", "_x", "_y").join(shared.select("_x", "_y"), ["_x", "_y"], "left_semi").select("cid", "pos").distinct()
+        order = Window.partitionBy("cid").orderBy("pos")
+        fresh = (F.col("pos") > F.coalesce(F.lag("pos").over(order), F.lit(-self.least - 1)) + self.least).cast("int")
+        marked = held.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order))
+        return marked.groupBy("cid", "_island").agg(F.min("pos").alias("start"), (F.max("pos") + self.least).alias("end")).drop("_island")
 
     def shares(self) -> DataFrame:
         """``(id, n_letters, n_shared)``: how much of each row that takes part stands in rows of other keys.
 
-        Overlapping repeats count once; a row whose whole text occurs under
-        another key is shared entirely.
+        A row whose whole text occurs under another key is shared entirely.
         """
-        order = Window.partitionBy("cid").orderBy("start", "end")
-        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        spans = self.intervals().withColumn("_reach", F.coalesce(reach, F.lit(0)))
-        own = F.greatest(F.lit(0), F.col("end") - F.greatest("start", "_reach"))
-        covered = spans.groupBy("cid").agg(F.sum(own).alias("_n"))
-        rows = self.rows.select("id", F.length("text").alias("n_letters"))
-        joined = rows.join(self.members.select("id", "cid", "klo", "khi"), "id").join(covered, "cid", "left")
+        covered = self.stretches().groupBy("cid").agg(F.sum(F.col("end") - F.col("start")).alias("_n"))
+        joined = self.members().join(covered, "cid", "left")
         n = F.when(F.col("klo") != F.col("khi"), F.col("n_letters")).otherwise(F.coalesce("_n", F.lit(0)))
         return joined.select("id", F.col("n_letters").cast("bigint").alias("n_letters"), n.cast("bigint").alias("n_shared"))

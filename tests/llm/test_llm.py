@@ -158,6 +158,29 @@ def test_spans(spark, hot):
             covered = {p for j in range(len(s) - 63) if len(keys[s[j : j + 64]]) > 1 for p in range(j, j + 64)}
             want[i] = (len(s), len(covered))
     assert {r["id"]: (r["n_letters"], r["n_shared"]) for r in found.shares().collect()} == want
+    # maximal repeats, by brute force along every diagonal
+    text = {r["cid"]: r["text"] for r in found.texts.collect()}
+    under = defaultdict(set)
+    for _, k, s in rows:
+        if k is not None and s in text.values():
+            under[s].add(k)
+    repeats = set()
+    for a, x in text.items():
+        for b, y in text.items():
+            if a < b and len(under[x] | under[y]) > 1:
+                for d in range(-len(y) + 1, len(x)):
+                    n = 0
+                    for i in range(max(0, d), min(len(x), len(y) + d) + 1):
+                        if i < len(x) and i - d < len(y) and x[i] == y[i - d]:
+                            n += 1
+                        else:
+                            if n >= 64:
+                                repeats.add((a, i - n, b, i - n - d, n))
+                            n = 0
+    got = [tuple(r) for r in found.repeats().collect()]
+    assert set(got) == repeats and len(got) == len(repeats)
+    assert {(r["cid_a"], r["cid_b"]): (r["n_repeats"], r["longest"]) for r in found.links().collect()} == {
+        p: (len(ns), max(ns)) for p, ns in {(a, b): [n for c, _, e, _, n in repeats if (c, e) == (a, b)] for a, _, b, _, _ in repeats}.items()}
 
 
 def test_spans_empty(spark):
@@ -380,5 +403,5 @@ def test_schemas(spark, small, name, want):
 
 
 def test_other_queries_run(spark, small):
-    for name in ("p3_records", "p3_truth", "p3_source_quality", "p3_agreement", "p5_report", "p7_shares", "p8_fill", "p9_items", "p10_rates"):
+    for name in ("p3_records", "p3_truth", "p3_source_quality", "p3_agreement", "p5_report", "p7_shares", "p7_links", "p7_members", "p8_fill", "p9_items", "p10_rates"):
         assert queries.QUERIES[name](spark, small).select(F.count("*")).first()[0] >= 0
