@@ -179,11 +179,17 @@ def kmers(s: Column, k: int) -> Column:
 
 
 def kmer_code(word: Column, alphabet: str) -> Column:
-    """Positional code of a word in the base of its alphabet; null if it holds another letter."""
-    base = len(alphabet)
-    digits = F.transform(F.split(word, ""), lambda c: (F.position(c, F.lit(alphabet)) - 1).cast("bigint"))
-    valid = F.forall(digits, lambda x: x >= 0)
-    return F.when(valid, F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, x: a * base + x))
+    """Positional code of a word in the base of its alphabet, of at most 36 letters; null if it holds another letter or none."""
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"[: len(alphabet)]
+    valid = (F.length(word) > 0) & (F.translate(word, alphabet, "") == "")
+    return F.when(valid, F.conv(F.translate(word, alphabet, digits), len(alphabet), 10).cast("bigint"))
+
+
+def kmer_word(code: Column, alphabet: str, k: int) -> Column:
+    """The word of ``k`` letters that has this code; null for codes that no word has."""
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"[: len(alphabet)]
+    number = F.lower(F.conv(code.cast("string"), 10, len(alphabet)))
+    return F.when((code >= 0) & (code < len(alphabet) ** k), F.translate(F.lpad(number, k, "0"), digits, alphabet))
 
 
 def signature(s: Column, k: int = 5) -> Column:

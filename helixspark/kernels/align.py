@@ -2,7 +2,9 @@
 
 A batch of pairs is padded to one shape and filled row by row: every step is
 an array operation over pairs and columns.  Cells only look up and left, so
-padding never reaches the cells of a shorter pair.
+padding never reaches the cells of a shorter pair.  Of a pair whose cells
+don't fit, the rows between stored ones are filled again on the way back, so
+memory grows with the length times its square root and no length is refused.
 """
 
 from __future__ import annotations
@@ -13,9 +15,7 @@ from helixspark import schema
 
 NEG = -(10**7)
 GAP_OPEN, GAP_EXTEND, LOCAL_GAP = -10, -1, -2
-#: Longest sequence that is aligned.
-MOST = 5000
-#: Cells filled at once.
+#: Cells whose way back is kept at once.
 CELLS = 16_000_000
 
 
@@ -75,75 +75,111 @@ def _batches(a: list[str], b: list[str]):
         yield batch
 
 
-def _walk_global(s: str, t: str, back: np.ndarray, state: int) -> tuple[str, str]:
-    x, y, i, j = [], [], len(s), len(t)
-    while i > 0 or j > 0:
-        code = back[i, j]
-        if state == 0:
-            i, j = i - 1, j - 1
-            x.append(s[i]), y.append(t[j])
-            state = code & 3
-        elif state == 1:
-            i -= 1
-            x.append(s[i]), y.append("-")
-            state = 1 if code & 4 else 0
-        else:
-            j -= 1
-            x.append("-"), y.append(t[j])
-            state = 2 if code & 8 else 0
-    return "".join(reversed(x)), "".join(reversed(y))
+def _block(rows: int, cols: int, size: int) -> int:
+    """Rows whose way back is kept at once: all if they fit, else about as many bytes as the stored rows between them take."""
+    return rows if (rows + 1) * (cols + 1) * size <= CELLS else min(rows, max(CELLS // (cols + 1), int((12 * rows) ** 0.5) + 1))
 
 
-def align_global(a: list[str], b: list[str], kind: str = "dna", gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> list[tuple[str, str, int]]:
-    """ALN-01: Needleman-Wunsch with affine gaps: ``(a aligned, b aligned, score)`` of each pair.
+class _Global:
+    """One batch of global alignments, filled from any stored row."""
 
-    ``gap_open`` is the cost of a gap's first letter; gaps open from a matched
-    column only; on ties a match comes before a gap in ``b``, that before a
-    gap in ``a``, and opening before extending.
-    """
-    out: list = [None] * len(a)
-    for batch in _batches(a, b):
-        s, n = _codes([a[i] for i in batch])
-        t, m = _codes([b[i] for i in batch])
-        rows, cols, size = s.shape[1], t.shape[1], len(batch)
-        back = np.zeros((size, rows + 1, cols + 1), dtype=np.uint8)
-        match = np.full((size, cols + 1), NEG, dtype=np.int32)
+    def __init__(self, s: np.ndarray, t: np.ndarray, kind: str, gap_open: int, gap_extend: int):
+        self.rows, self.cols, self.size = s.shape[1], t.shape[1], len(s)
+        self.gap_open, self.gap_extend = gap_open, gap_extend
+        self.profile, self.letter = _profile(s, t, kind)
+        self.steps = np.arange(self.cols + 1, dtype=np.int32) * gap_extend
+
+    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        match = np.full((self.size, self.cols + 1), NEG, dtype=np.int32)
         match[:, 0] = 0
-        up = np.full((size, cols + 1), NEG, dtype=np.int32)
-        left = np.full((size, cols + 1), NEG, dtype=np.int32)
-        steps = np.arange(cols + 1, dtype=np.int32) * gap_extend
-        left[:, 1:] = gap_open - gap_extend + steps[1:]
-        back[:, 0, 2:] |= 8
-        ends = np.zeros((3, size), dtype=np.int32)
-        _keep(ends, 0, n, m, match, up, left)
-        profile, letter = _profile(s, t, kind)
-        each = np.arange(size)
-        for i in range(1, rows + 1):
+        left = np.full_like(match, NEG)
+        left[:, 1:] = self.gap_open - self.gap_extend + self.steps[1:]
+        return match, np.full_like(match, NEG), left
+
+    def fill(self, state: tuple, at: int, to: int, back: np.ndarray | None, seen) -> tuple:
+        """The state of row ``to`` from that of row ``at``; ``back[:, i - at]`` gets the way back of row ``i``, ``seen`` each state."""
+        match, up, left = state
+        steps, each, gap_open, gap_extend = self.steps, np.arange(self.size), self.gap_open, self.gap_extend
+        if back is not None:
+            back[:, 0, 2:] |= 8 if at == 0 else 0
+        for i in range(at + 1, to + 1):
             best = np.maximum(np.maximum(match, up), left)
-            source = (match < best).view(np.uint8)
-            source += source & (up < best).view(np.uint8)
             new = np.full_like(match, NEG)
-            np.add(profile[each, letter[:, i - 1]], best[:, :-1], out=new[:, 1:])
+            np.add(self.profile[each, self.letter[:, i - 1]], best[:, :-1], out=new[:, 1:])
             opened, extended = match + gap_open, up + gap_extend
-            code = (opened < extended).view(np.uint8) << 2
-            code[:, 1:] |= source[:, :-1]
             down = np.maximum(opened, extended)
             # gaps in a run along the row: a running maximum of where they open
             opens = new[:, :-1] + gap_open
             right = np.full_like(left, NEG)
             np.maximum.accumulate(np.maximum(opens - steps[1:], NEG), axis=1, out=right[:, 1:])
             right[:, 1:] += steps[1:]
-            code[:, 1:] |= (opens < right[:, :-1] + gap_extend).view(np.uint8) << 3
-            back[:, i] = code
+            if back is not None:
+                source = (match < best).view(np.uint8)
+                source += source & (up < best).view(np.uint8)
+                code = (opened < extended).view(np.uint8) << 2
+                code[:, 1:] |= source[:, :-1]
+                code[:, 1:] |= (opens < right[:, :-1] + gap_extend).view(np.uint8) << 3
+                back[:, i - at] = code
             match, up, left = new, down, right
-            _keep(ends, i, n, m, match, up, left)
+            seen(i, (match, up, left))
+        return match, up, left
+
+
+def align_global(a: list[str], b: list[str], kind: str = "dna", gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> list[tuple[str, str, int]]:
+    """ALN-01: Needleman-Wunsch with affine gaps: ``(a aligned, b aligned, score)`` of each pair.
+
+    ``gap_open`` is the cost of a gap's first letter; gaps open from a matched
+    column only; on ties a match comes before a gap in ``b``, that before a
+    gap in ``a``, and opening before extending.
+    """
+    out: list = [None] * len(a)
+    for batch in _batches(a, b):
+        s, n = _codes([a[i] for i in batch])
+        t, m = _codes([b[i] for i in batch])
+        solver = _Global(s, t, kind, gap_open, gap_extend)
+        height = _block(solver.rows, solver.cols, len(batch))
+        ends = np.zeros((3, len(batch)), dtype=np.int32)
+        keep = lambda i, state: _keep(ends, i, n, m, *state)  # noqa: B023, E731
+        stored = [solver.first()]
+        keep(0, stored[0])
+        whole = height == solver.rows
+        back = np.zeros((len(batch), height + 1, solver.cols + 1), dtype=np.uint8)
+        for at in range(0, solver.rows, height):
+            stored.append(solver.fill(stored[-1], at, min(at + height, solver.rows), back if whole else None, keep))
+        states = [int(x) for x in np.argmax(ends, axis=0)]
+        places = [(len(a[i]), len(b[i]), states[k]) for k, i in enumerate(batch)]
+        done: list[tuple[list, list]] = [([], []) for _ in batch]
+        for at in reversed(range(0, solver.rows, height)):
+            if not whole:
+                back[:] = 0
+                solver.fill(stored[at // height], at, min(at + height, solver.rows), back, lambda i, state: None)
+            for k, i in enumerate(batch):
+                places[k] = _walk_global(a[i], b[i], back[k], at, *places[k], *done[k])
         for k, i in enumerate(batch):
-            state = int(np.argmax(ends[:, k]))
-            x, y = _walk_global(a[i], b[i], back[k], state)
-            out[i] = (x, y, int(ends[state, k]))
+            x, y = done[k]
+            out[i] = ("".join(reversed(x)), "".join(reversed(y)), int(ends[states[k], k]))
     return out
 
 
+def _walk_global(s: str, t: str, back: np.ndarray, at: int, i: int, j: int, state: int, x: list, y: list) -> tuple[int, int, int]:
+    """The way back from cell ``(i, j)`` to row ``at``, or to the origin; ``back`` starts with row ``at``."""
+    while i > at or (at == 0 and j > 0):
+        code = back[i - at, j]
+        if state == 0:
+            i, j = i - 1, j - 1
+            x.append(s[i]), y.append(t[j])
+            state = code & 3
+        elif state == 1:
+            i -= 1
+            x.append(s[i]), y.append("-")
+            state = 1 if code & 4 else 0
+        else:
+            j -= 1
+            x.append("-"), y.append(t[j])
+            state = 2 if code & 8 else 0
+    return i, j, int(state)
+
+
 def _profile(s: np.ndarray, t: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Score rows of every letter of ``s`` against each text of ``t``, and which of them each place of ``s`` takes."""
     letters, place = np.unique(s, return_inverse=True)
@@ -156,6 +192,22 @@ def _keep(ends: np.ndarray, i: int, n: np.ndarray, m: np.ndarray, match: np.ndar
         row[done] = x[done, m[done]]
 
 
+def _fill_local(last: np.ndarray, at: int, to: int, profile: np.ndarray, letter: np.ndarray, gap: int, back: np.ndarray | None, seen) -> np.ndarray:
+    steps, each = np.arange(last.shape[1], dtype=np.int32) * gap, np.arange(len(last))
+    for i in range(at + 1, to + 1):
+        diagonal = last[:, :-1] + profile[each, letter[:, i - 1]]
+        above = last[:, 1:] + gap
+        now = np.zeros_like(last)
+        now[:, 1:] = np.maximum(0, np.maximum(diagonal, above))
+        now = np.maximum.accumulate(now - steps, axis=1) + steps
+        cell = now[:, 1:]
+        if back is not None:
+            back[:, i - at, 1:] = np.where(cell == 0, 3, np.where(cell == diagonal, 0, np.where(cell == above, 1, 2)))
+        seen(i, cell)
+        last = now
+    return last
+
+
 def align_local(a: list[str], b: list[str], kind: str = "dna", gap: int = LOCAL_GAP) -> list[tuple[str, str, int, int, int]]:
     """ALN-02: Smith-Waterman with linear gaps: ``(a part, b part, score, a end, b end)``; the first best cell row by row, diagonal before up before left."""
     out: list = [None] * len(a)
@@ -163,39 +215,51 @@ def align_local(a: list[str], b: list[str], kind: str = "dna", gap: int = LOCAL_
         s, n = _codes([a[i] for i in batch])
         t, m = _codes([b[i] for i in batch])
         rows, cols, size = s.shape[1], t.shape[1], len(batch)
-        back = np.full((size, rows + 1, cols + 1), 3, dtype=np.uint8)
-        last = np.zeros((size, cols + 1), dtype=np.int32)
-        steps = np.arange(cols + 1, dtype=np.int32) * gap
         inside = np.arange(1, cols + 1) <= m[:, None]
         profile, letter = _profile(s, t, kind)
-        each = np.arange(size)
         top, at_i, at_j = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=int), np.zeros(size, dtype=int)
-        for i in range(1, rows + 1):
-            diagonal = last[:, :-1] + profile[each, letter[:, i - 1]]
-            above = last[:, 1:] + gap
-            now = np.zeros_like(last)
-            now[:, 1:] = np.maximum(0, np.maximum(diagonal, above))
-            now = np.maximum.accumulate(now - steps, axis=1) + steps
-            cell = now[:, 1:]
-            back[:, i, 1:] = np.where(cell == 0, 3, np.where(cell == diagonal, 0, np.where(cell == above, 1, 2)))
-            live = np.where(inside & (n >= i)[:, None], cell, 0)
+
+        def best_cell(i: int, cell: np.ndarray) -> None:
+            live = np.where(inside & (n >= i)[:, None], cell, 0)  # noqa: B023
             best = live.max(axis=1, initial=0)
-            better = best > top
-            top, at_i = np.where(better, best, top), np.where(better, i, at_i)
-            at_j = np.where(better, live.argmax(axis=1) + 1, at_j)
-            last = now
+            better = best > top  # noqa: B023
+            top[better], at_i[better], at_j[better] = best[better], i, live.argmax(axis=1)[better] + 1  # noqa: B023
+
+        height = _block(rows, cols, size)
+        whole = height == rows
+        back = np.full((size, height + 1, cols + 1), 3, dtype=np.uint8)
+        stored = [np.zeros((size, cols + 1), dtype=np.int32)]
+        for at in range(0, rows, height):
+            stored.append(_fill_local(stored[-1], at, min(at + height, rows), profile, letter, gap, back if whole else None, best_cell))
+        places = [(int(at_i[k]), int(at_j[k]), False) for k in range(size)]
+        done: list[tuple[list, list]] = [([], []) for _ in batch]
+        for at in reversed(range(0, rows, height)):
+            if all(ended or p <= at for p, _, ended in places) and at > 0:
+                continue
+            if not whole:
+                back[:] = 3
+                _fill_local(stored[at // height], at, min(at + height, rows), profile, letter, gap, back, lambda i, cell: None)
+            for k, i in enumerate(batch):
+                places[k] = _walk_local(a[i], b[i], back[k], at, *places[k], *done[k])
         for k, i in enumerate(batch):
-            x, y, p, q = [], [], int(at_i[k]), int(at_j[k])
-            while (p > 0 or q > 0) and (code := back[k, p, q]) != 3:
-                if code != 2:
-                    p -= 1
-                if code != 1:
-                    q -= 1
-                x.append(a[i][p] if code != 2 else "-"), y.append(b[i][q] if code != 1 else "-")
+            x, y = done[k]
             out[i] = ("".join(reversed(x)), "".join(reversed(y)), int(top[k]), int(at_i[k]), int(at_j[k]))
     return out
 
 
+def _walk_local(s: str, t: str, back: np.ndarray, at: int, p: int, q: int, ended: bool, x: list, y: list) -> tuple[int, int, bool]:
+    while not ended and p > at:
+        code = back[p - at, q]
+        if code == 3:
+            return p, q, True
+        if code != 2:
+            p -= 1
+        if code != 1:
+            q -= 1
+        x.append(s[p] if code != 2 else "-"), y.append(t[q] if code != 1 else "-")
+    return p, q, ended or at == 0
+
+
 def insertions(x: str, y: str) -> tuple[list[str], list[str]]:
     """Of a text ``y`` aligned with a centre ``x``: what it inserts before each letter of the centre and behind the last, and its letter at each."""
     inserted, letters, run = [], [], ""

@@ -1,10 +1,11 @@
 """Retrieve, align, rank: similarity search of query sequences against the catalogue.
 
 Candidates come from an inverted index of k-mers joined by equality, so no
-query ever meets a gene it shares nothing with.  Words are weighted by count
-only; a word that very many genes hold is split over the cluster by a salt on
-the gene side while the query side is repeated for each salt.  Exact ranking
-follows on the candidates alone, and sequences are fetched only for them.
+query ever meets a gene it shares nothing with.  Words that few genes hold
+are joined and counted; a word that very many hold is looked up only for
+pairs that the rare words leave in question, and read as a whole, salted,
+only for queries that could be answered by such words alone.  Exact ranking
+follows on the candidates, and sequences are fetched only for them.
 """
 
 from __future__ import annotations
@@ -12,17 +13,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import seq
 from helixspark.kernels import align as kernel
+from helixspark.kernels import words
 from helixspark.session import checkpoint
 
 K = 12
 SALT = 8
 #: Candidates aligned first, per result wanted; of the others all that could still be among the results.
 PER_RESULT = 15
+#: Genes that hold a word beyond which its list isn't read for every query.
+HOT = 1000
+#: Percent identity from which on no gene is missed: more differing columns than this allows might break every word of ``K`` letters.
+SURE = 93.0
 
 
 def kmer_index(df: DataFrame, k: int = K, id_column: str = "id", text: str = "s", alphabet: str = "ACGT") -> DataFrame:
@@ -31,17 +38,73 @@ def kmer_index(df: DataFrame, k: int = K, id_column: str = "id", text: str = "s"
     return df.select(F.col(id_column).alias("id"), F.explode(words).alias("kmer"))
 
 
-def shared_kmers(queries: DataFrame, index: DataFrame, itself: bool = False) -> DataFrame:
-    """``(query, id, shared)``: how many distinct words each query shares with each gene, other than itself unless ``itself``.
+def code_index(df: DataFrame, k: int = K, alphabet: str = "ACGT") -> DataFrame:
+    """``(id, kmer)`` with each distinct word as its positional code, by an Arrow kernel."""
 
-    ``queries`` and ``index`` have ``id`` and ``kmer``.  Counts are folded
-    before the shuffle; pairs that share nothing never arise.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 2000):
+                batch = big.slice(at, 2000)
+                text, code = words.word_codes(batch.column(1).to_pylist(), k, alphabet)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(code)], names=["id", "kmer"])
+
+    return df.where("s IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "s").mapInArrow(run, "id bigint, kmer bigint")
+
+
+class SharedWords:
+    """How many distinct words queries share with genes: ``queries`` and ``index`` have ``id`` and ``kmer``.
+
+    Pairs that share nothing never arise.  A word that more than ``hot``
+    genes hold is counted only where it matters, see ``at_least``.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    q = queries.select(F.col("id").alias("query"), "kmer", salts.alias("_salt"))
-    g = index.select("id", "kmer", F.pmod(F.hash("id"), F.lit(SALT)).alias("_salt"))
-    both = q.join(g, ["kmer", "_salt"])
-    return (both if itself else both.where("query <> id")).groupBy("query", "id").agg(F.count("*").alias("shared"))
+
+    def __init__(self, queries: DataFrame, index: DataFrame, hot: int = HOT):
+        held = index.groupBy("kmer").agg(F.count("*").alias("_df"))
+        asked = queries.select(F.col("id").alias("query"), "kmer").join(held, "kmer")
+        self.words = checkpoint(asked.select("query", "kmer", (F.col("_df") > hot).alias("_hot")))
+        self.hot = self.words.where("_hot").select("query", "kmer")
+        self.hot_index = index.join(self.hot.select("kmer").distinct(), "kmer", "left_semi")
+        rare = self.words.where("NOT _hot").join(index, "kmer")
+        #: ``(query, id, rare)``: pairs by their rare words alone.
+        self.rare = checkpoint(rare.groupBy("query", "id").agg(F.count("*").alias("rare")))
+        #: ``(query, n_words, n_hot)``.
+        self.sizes = self.words.groupBy("query").agg(F.count("*").alias("n_words"), F.count_if("_hot").alias("n_hot"))
+
+    def at_least(self, need: DataFrame) -> DataFrame:
+        """``(query, id, shared)``: all pairs that share as many words as ``need(query, need)`` asks for, at least one.
+
+        Where a query has fewer hot words than needed, a gene must share rare
+        words with it, and hot words are looked up gene by gene among the
+        pairs that could reach the need.  Only else are the lists of the hot
+        words read, dealt over ``SALT`` parts.
+        """
+        asked = checkpoint(self.sizes.join(need, "query").select("query", "n_hot", F.greatest("need", F.lit(1)).alias("need")))
+        bound = self.rare.join(asked, "query").where(F.col("rare") + F.col("n_hot") >= F.col("need"))
+        plain = bound.where("n_hot = 0").select("query", "id", F.col("rare").alias("shared"), "need")
+        doubtful = bound.where("n_hot > 0 AND n_hot < need").select("query", "id", "rare", "need")
+        more = doubtful.select("query", "id").join(self.hot_index, "id").join(self.hot, ["query", "kmer"]).groupBy("query", "id").agg(F.count("*").alias("_more"))
+        looked_up = doubtful.join(more, ["query", "id"], "left").select("query", "id", (F.col("rare") + F.coalesce("_more", F.lit(0))).alias("shared"), "need")
+        open_ = asked.where("n_hot >= need").select("query", "need")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
+        lists = self.hot.join(open_, "query").select("query", "kmer", salts).join(self.hot_index.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALT))), ["kmer", "_salt"])
+        read = lists.groupBy("query", "id").agg(F.count("*").alias("n")).unionByName(self.rare.join(open_.select("query"), "query", "left_semi").select("query", "id", F.col("rare").alias("n")))
+        read = read.groupBy("query", "id").agg(F.sum("n").alias("shared")).join(open_, "query")
+        return plain.unionByName(looked_up).unionByName(read.select("query", "id", "shared", "need")).where("shared >= need").drop("need")
+
+    def top(self, k: int, itself: bool = False) -> DataFrame:
+        """``(query, id, shared, rank)``: the ``k`` genes that share most words with each query, ties by id; other than the query unless ``itself``.
+
+        The ``k``-th best by rare words alone is a lower bound of the ``k``-th best by all.
+        """
+        others = (lambda df: df) if itself else (lambda df: df.where("query <> id"))
+        first = top(others(self.rare), "rare", k).groupBy("query").agg(F.count("*").alias("_n"), F.min("rare").alias("_least"))
+        need = self.sizes.select("query").join(first, "query", "left").select("query", F.when(F.col("_n") >= k, F.col("_least")).otherwise(1).alias("need"))
+        return top(others(self.at_least(need)), "shared", k)
+
+
+def shared_top(queries: DataFrame, genes: DataFrame, k: int, word: int = K, alphabet: str = "ACGT", hot: int = HOT) -> DataFrame:
+    """``(query, id, shared, rank)``: the ``k`` genes that share most words with each query; both have ``id`` and ``s``."""
+    return SharedWords(code_index(queries, word, alphabet), code_index(genes, word, alphabet), hot).top(k)
 
 
 def top(scored: DataFrame, score: str, k: int, query: str = "query", tie: str = "id") -> DataFrame:
@@ -50,17 +113,38 @@ def top(scored: DataFrame, score: str, k: int, query: str = "query", tie: str =
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
-def length_window(queries: DataFrame, genes: DataFrame, ratio: int = 3) -> DataFrame:
-    """``(query, id)`` pairs whose lengths differ by at most a factor ``ratio``: a theta join as an equi-join on length bins.
+def lengths_within(asked: DataFrame, held: DataFrame, ratio: int) -> DataFrame:
+    """``(m, n_within)``: of each distinct length ``m`` of ``asked``, how many rows of ``held`` differ from it by at most a factor ``ratio``.
+
+    Both have ``n``.  Rows fold to distinct lengths first, of which there are
+    fewer than the square root of twice the letters in all; running counts
+    over these answer both ends of each window.
+    """
+    m = asked.where("n > 0").select(F.col("n").cast("bigint").alias("m")).distinct()
+    counts = held.where("n > 0").groupBy(F.col("n").cast("bigint").alias("x")).agg(F.count("*").alias("c"))
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    ends = m.select((F.col("m") * ratio).alias("x"), zero.alias("c"), "m", F.lit(1).alias("sign"))
+    starts = m.select((F.ceil(F.col("m") / ratio) - 1).alias("x"), zero.alias("c"), "m", F.lit(-1).alias("sign"))
+    rows = counts.select("x", "c", none.alias("m"), F.lit(0).alias("sign")).unionByName(ends).unionByName(starts)
+    upto = F.sum("c").over(Window.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_upto", upto).where("m IS NOT NULL").groupBy("m").agg(F.sum(F.col("_upto") * F.col("sign")).alias("n_within"))
+
+
+def nearest_lengths(queries: DataFrame, genes: DataFrame, k: int, ratio: int = 3) -> DataFrame:
+    """``(query, rank, id, gap)``: the ``k`` genes nearest in length to each query, within a factor ``ratio``, ties by id; both have ``id`` and ``n``.
 
-    Both have ``id`` and ``n``.  A bin is a power of ``ratio``, so partners
-    lie in three neighbouring bins.
+    A distinct length keeps its first ids only, and a query's length looks at
+    the ``k`` distinct lengths on either side; no pair else arises.
     """
-    bin_of = lambda n: F.floor(F.log(n) / F.log(F.lit(float(ratio)))).cast("int")
-    q = queries.where("n > 0").select(F.col("id").alias("query"), F.col("n").alias("_n"), F.explode(F.array(*[bin_of(F.col("n")) + i for i in (-1, 0, 1)])).alias("_bin"))
-    g = genes.where("n > 0").select("id", "n", bin_of(F.col("n")).alias("_bin"))
-    near = (F.greatest("n", "_n") <= ratio * F.least("n", "_n")) & (F.col("query") != F.col("id"))
-    return q.join(g, "_bin").where(near).select("query", "id")
+    order = F.row_number().over(Window.partitionBy("n").orderBy("id"))
+    first = genes.where("n > 0").select("id", "n").withColumn("_r", order).where(F.col("_r") <= k + 1).drop("_r")
+    asked = queries.where("n > 0").select(F.col("id").alias("query"), F.col("n").alias("m"))
+    lengths = first.select("n").unionByName(asked.select(F.col("m").alias("n"))).distinct()
+    around = F.collect_list("n").over(Window.orderBy("n").rowsBetween(-k, k))
+    near = lengths.withColumn("_around", around).select(F.col("n").alias("m"), F.explode("_around").alias("n")).where(F.greatest("n", "m") <= ratio * F.least("n", "m"))
+    gap = F.abs(F.col("n") - F.col("m"))
+    found = asked.join(near, "m").join(first, "n").where("query <> id").withColumn("gap", gap)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("gap", "id")).cast("bigint")).where(F.col("rank") <= k).select("query", "rank", "id", "gap")
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -71,25 +155,88 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def trigram_candidates(queries: DataFrame, names: DataFrame, least: float = 0.3) -> DataFrame:
-    """``(query, id, score)``: names whose trigram sets are at least ``least`` alike, by an equi-join on trigrams.
+    """``(query, id, score)``: texts whose trigram sets are at least ``least`` alike; both have ``id`` and ``name``, ids name distinct texts.
+
+    Two sets of ``m`` and ``n`` trigrams that are so alike share at least
+    ``least`` times the larger, so they meet already among all but that many
+    of each one's trigrams in order of rarity: those alone are joined, and
+    pairs that meet are scored whole.
+    """
+    g = names.select("id", seq.trigrams(F.col("name")).alias("_t")).where(F.size("_t") > 0)
+    q = queries.select("id", seq.trigrams(F.col("name")).alias("_t")).where(F.size("_t") > 0)
+    df = g.select(F.explode("_t").alias("trigram")).groupBy("trigram").agg(F.count("*").alias("_df"))
+
+    def prefix(sets: DataFrame, name: str) -> DataFrame:
+        each = sets.select(F.col("id").alias(name), F.size("_t").alias("_n"), F.explode("_t").alias("trigram")).join(df, "trigram", "left")
+        rank = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("_df", F.lit(0)), "trigram"))
+        return each.withColumn("_r", rank).where(F.col("_r") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1).select(name, "trigram")
+
+    dealt = prefix(g, "id").withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALT)))
+    asked = prefix(q, "query").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = asked.join(dealt, ["trigram", "_salt"]).select("query", "id").distinct()
+    both = met.join(q.select(F.col("id").alias("query"), F.col("_t").alias("_a")), "query").join(g.select("id", F.col("_t").alias("_b")), "id")
+    return both.select("query", "id", trigram_similarity(F.col("_a"), F.col("_b")).alias("score")).where(F.col("score") >= least)
+
 
-    Both have ``id`` and ``name``.  Set sizes travel with the trigrams, so
-    the count of shared trigrams alone gives the score.
+#: The letters of a sequence whose trigrams have a bit each.
+TRIGRAM_LETTERS = "acgtn"
+
+
+def trigram_bits(s: Column) -> Column:
+    """``struct(b0, b1, first, last, n)``: the trigram set of a sequence of ``ACGTN`` as two bitmaps, the padded ones by their letters, and the size of the set."""
+
+    @F.pandas_udf("b0 bigint, b1 bigint")
+    def bitmaps(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("b0", "b1"), words.trigram_bitmaps(texts.tolist(), TRIGRAM_LETTERS), strict=True)))
+
+    low = F.lower(s)
+    bits = bitmaps(low)
+    return F.struct(bits["b0"].alias("b0"), bits["b1"].alias("b1"), F.substring(low, 1, 2).alias("first"), F.right(low, F.lit(2)).alias("last"),
+                    (F.bit_count(bits["b0"]) + F.bit_count(bits["b1"]) + F.when(F.length(s) == 1, 2).otherwise(3)).alias("n"))
+
+
+def sequence_trigram_top(queries: DataFrame, genes: DataFrame, k: int, ratio: int | None = 3, least: float = 0.3, blocks: int | None = None) -> DataFrame:
+    """``(query, rank, id, score)``: the ``k`` genes whose sequences have the most similar trigram sets, of at least ``least``, ties by id.
+
+    Both have ``id`` and ``s``, of ``ACGTN``.  With ``ratio`` only genes whose
+    length differs by at most that factor count; without it (the deep mode)
+    all do.  Nearly all long sequences hold nearly all trigrams, so an index
+    would return everything: genes fold to distinct (set, length) with their
+    first ids, and the stated queries meet these in blocks, two bitmaps
+    against two.
     """
-    q = queries.select(F.col("id").alias("query"), seq.trigrams(F.col("name")).alias("_t")).select("query", F.size("_t").alias("_m"), F.explode("_t").alias("trigram"))
-    g = names.select("id", seq.trigrams(F.col("name")).alias("_t")).select("id", F.size("_t").alias("_n"), F.explode("_t").alias("trigram"))
-    shared = q.join(g, "trigram").groupBy("query", "id", "_m", "_n").agg(F.count("*").alias("_s"))
-    score = F.col("_s") / (F.col("_m") + F.col("_n") - F.col("_s"))
-    return shared.select("query", "id", score.alias("score")).where(F.col("score") >= least)
+    blocks = blocks or queries.sparkSession.sparkContext.defaultParallelism * 2
+    parts = lambda df, name: df.where(F.length("s") > 0).select(F.col("id").alias(name), F.length("s").alias("m"), trigram_bits(F.col("s")).alias("t"))
+    kind = ["m", "t.b0", "t.b1", "t.first", "t.last", "t.n"] if ratio else ["t.b0", "t.b1", "t.first", "t.last", "t.n"]
+    flat = parts(genes, "id").select("id", *kind)
+    keys = flat.columns[1:]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    folded = flat.withColumn("_r", rank).where(F.col("_r") <= k + 1).groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    g = folded.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks))).alias("g")
+    q = parts(queries, "query").select("query", *kind, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block")).alias("q")
+    col = F.col
+    shared = F.bit_count(col("q.b0").bitwiseAND(col("g.b0"))) + F.bit_count(col("q.b1").bitwiseAND(col("g.b1")))
+    # the padded trigrams: one letter after two blanks, two letters after one, two letters before one
+    one, both, end = F.left(col("q.first"), F.lit(1)) == F.left(col("g.first"), F.lit(1)), col("q.first") == col("g.first"), col("q.last") == col("g.last")
+    single = F.length(col("q.first")) == 1
+    shared = shared + one.cast("int") + F.when(single, both).otherwise(both & (F.length(col("g.first")) == 2)).cast("int") + F.when(single, False).otherwise(end & (F.length(col("g.last")) == 2)).cast("int")
+    near = q.join(g, "_block")
+    if ratio:
+        near = near.where(F.greatest(col("q.m"), col("g.m")) <= ratio * F.least(col("q.m"), col("g.m")))
+    scored = near.select("query", "ids", (shared / (col("q.n") + col("g.n") - shared)).alias("score")).where(F.col("score") >= least)
+    # the best classes hold the best genes: each class has one at least besides the query
+    best = F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    kept = scored.withColumn("_c", best).where(F.col("_c") <= k + 1)
+    return top(kept.select("query", F.explode("ids").alias("id"), "score").where("query <> id"), "score", k).select("query", "rank", "id", "score")
 
 
 def align_udf(kind: str = "dna", local: bool = False):
-    """Arrow kernel over batches of pairs: ``struct(a, b, score)``; pairs beyond the length cap, or null, give nulls."""
+    """Arrow kernel over batches of pairs: ``struct(a, b, score)``; a pair with a null gives nulls."""
 
     @F.pandas_udf("a string, b string, score int")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for x, y in batches:
-            ok = x.notna() & y.notna() & (x.str.len() <= kernel.MOST) & (y.str.len() <= kernel.MOST)
+            ok = x.notna() & y.notna()
             solve = kernel.align_local if local else kernel.align_global
             done = iter(solve(x[ok].tolist(), y[ok].tolist(), kind))
             rows = [next(done)[:3] if good else (None, None, None) for good in ok]
@@ -133,9 +280,9 @@ def most_identity(a: str, b: str) -> Column:
 
 
 def classes(genes: DataFrame, results: int) -> DataFrame:
-    """``(id, s, ids)``: each distinct text that isn't too long to align, with the first ids that hold it, one more than ``results``."""
+    """``(id, s, ids)``: each distinct text with the first ids that hold it, one more than ``results``."""
     rank = F.row_number().over(Window.partitionBy("s").orderBy("id"))
-    first = genes.where(F.length("s") <= kernel.MOST).select("id", "s").withColumn("_r", rank).where(F.col("_r") <= results + 1)
+    first = genes.select("id", "s").withColumn("_r", rank).where(F.col("_r") <= results + 1)
     return first.groupBy("s").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "s", "ids")
 
 
@@ -157,47 +304,56 @@ def _last(found: DataFrame, results: int) -> DataFrame:
     return best.groupBy("query").agg(F.when(F.count("*") >= results, F.min("identity")).otherwise(0.0).alias("_least"))
 
 
-def search(queries: DataFrame, genes: DataFrame, results: int = 5, kind: str = "dna", alphabet: str = "ACGT", k: int = K, parallel: int | None = None) -> DataFrame:
-    """The ``results`` most similar genes of each query: ``(query, rank, id, shared, score, query_aligned, gene_aligned)``.
+def search(
+    queries: DataFrame, genes: DataFrame, results: int = 5, kind: str = "dna", alphabet: str = "ACGT", k: int = K,
+    sure: float = SURE, candidates: int | None = None, parallel: int | None = None, hot: int = HOT,
+) -> DataFrame:
+    """The ``results`` most similar genes of each query: ``(query, rank, id, shared, score, query_aligned, gene_aligned, identity, coverage)``.
 
     Both have ``id`` and ``s``; a query doesn't find itself.  Equal texts are
-    one candidate.  The ``PER_RESULT`` times ``results`` candidates that share
-    most words with a query are aligned globally, then all others with a word
-    in common, but for those that can't reach the last result so far, by their
-    lengths or their longest common subsequence; rank is by identity over the
-    whole alignment, ties by id.  So the results are exact among the genes
-    that have a word in common with the query and are short enough to align.
+    one candidate.  The ``candidates`` that share most words with a query
+    (``PER_RESULT`` times ``results`` if not given) are aligned globally and
+    ranked by identity over the whole alignment, ties by id.  Beyond them
+    every gene is aligned that could have ``sure`` percent identity or more
+    and be among the results.  What can't: an alignment of identity ``t`` has
+    at most ``n (1 - t) / t`` differing columns, ``n`` letters of the query,
+    and each breaks at most ``k`` of its words, so the others are shared;
+    nor can a gene whose length or longest common subsequence is too short.
+    With ``sure`` 0 each gene with a word in common counts.
     """
     parallel = parallel or queries.sparkSession.sparkContext.defaultParallelism * 8
+    candidates = candidates or PER_RESULT * results
     each = classes(genes, results)
-    sizes = each.select("id", F.length("s").alias("_m"), F.size("ids").alias("_ids"))
-    pairs = shared_kmers(kmer_index(queries, k, alphabet=alphabet), kmer_index(each, k, alphabet=alphabet), itself=True).join(sizes, "id")
-    pairs = pairs.where("query <> id OR _ids > 1").join(queries.select(F.col("id").alias("query"), F.length("s").alias("_n")), "query")
-    pairs = pairs.withColumn("_most", 100 * F.least("_n", "_m") / F.greatest("_n", "_m"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), "id"))
-    pairs = checkpoint(pairs.withColumn("_rank", rank).select("query", "id", "shared", "_rank", "_most"))
     texts = queries.select(F.col("id").alias("query"), F.col("s").alias("query_s"))
-    first = checkpoint(_aligned(pairs.where(F.col("_rank") <= PER_RESULT * results).join(texts, "query").join(each, "id"), kind, parallel))
-    rest = pairs.where(F.col("_rank") > PER_RESULT * results).join(_last(first, results), "query", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)))
-    rest = rest.where("_most >= _least").join(texts, "query").join(each, "id").repartition(parallel, "query", "id")
+    shared = SharedWords(code_index(queries, k, alphabet), code_index(each, k, alphabet), hot)
+    several = each.select("id", F.size("ids").alias("_ids"))
+    others = lambda df: df.join(several, "id").where("query <> id OR _ids > 1").drop("_ids")
+    best = checkpoint(others(shared.top(candidates + 1, itself=True)).select("query", "id", "shared"))
+    first = checkpoint(_aligned(best.join(texts, "query").join(each, "id"), kind, parallel))
+    least = texts.join(_last(first, results), "query", "left").select("query", F.length("query_s").alias("_n"), F.greatest(F.coalesce("_least", F.lit(0.0)), F.lit(float(sure))).alias("_least"))
+    t = F.greatest(F.col("_least"), F.lit(1e-6)) / 100
+    # a hair more than the division gives, so that rounding rules nothing out
+    broken = F.floor(F.col("_n") * (1 - t) / t + 1e-9) * k
+    need = least.join(shared.sizes, "query").select("query", (F.col("n_words") - broken).alias("need"))
+    more = others(shared.at_least(need)).join(best.select("query", "id"), ["query", "id"], "left_anti")
+    rest = more.join(least.drop("_n"), "query").join(texts, "query").join(each, "id")
+    n, m = F.length("query_s"), F.length("s")
+    rest = rest.where(100 * F.least(n, m) / F.greatest(n, m) >= F.col("_least")).repartition(parallel, "query", "id")
     return top(first.unionByName(_aligned(rest.where(most_identity("query_s", "s") >= F.col("_least")), kind, parallel)), "identity", results)
 
 
-def brute_force(queries: DataFrame, genes: DataFrame, found: DataFrame, results: int = 5, kind: str = "dna", parallel: int | None = None) -> DataFrame:
-    """``(query, rank, id, identity)``: the ``results`` most similar of all genes, with or without a word in common.
+def brute_force(queries: DataFrame, genes: DataFrame, results: int = 5, kind: str = "dna", least: float = 0.0, parallel: int | None = None) -> DataFrame:
+    """``(query, rank, id, identity)``: the ``results`` most similar of all genes, with or without a word in common, of at least ``least`` percent identity.
 
-    Every pair is met; it is aligned unless its lengths or its longest common
-    subsequence show that it can't reach the last result of ``found``, so the
-    outcome doesn't depend on ``found``.
+    The stated queries meet all genes in blocks; a pair is aligned unless its
+    lengths or its longest common subsequence show that it can't reach ``least``.
     """
     parallel = parallel or queries.sparkSession.sparkContext.defaultParallelism * 8
-    texts = queries.where(F.length("s") <= kernel.MOST).select(F.col("id").alias("query"), F.col("s").alias("query_s"))
-    least = F.coalesce("_least", F.lit(0.0))
-    asked = texts.join(_last(found, results), "query", "left").withColumn("_least", least)
+    asked = queries.select(F.col("id").alias("query"), F.col("s").alias("query_s"))
     n, m = F.length("query_s"), F.length("s")
-    every = asked.crossJoin(classes(genes, results)).where((F.col("query") != F.col("id")) | (F.size("ids") > 1)).where(100 * F.least(n, m) / F.greatest(n, m) >= F.col("_least"))
-    every = every.repartition(parallel, "query", "id").where(most_identity("query_s", "s") >= F.col("_least")).withColumn("shared", F.lit(None).cast("bigint"))
-    return top(_aligned(every, kind, parallel), "identity", results).select("query", "rank", "id", "identity")
+    every = asked.crossJoin(classes(genes, results)).where((F.col("query") != F.col("id")) | (F.size("ids") > 1)).where(100 * F.least(n, m) / F.greatest(n, m) >= least)
+    every = every.repartition(parallel, "query", "id").where(most_identity("query_s", "s") >= least).withColumn("shared", F.lit(None).cast("bigint"))
+    return top(_aligned(every, kind, parallel).where(F.col("identity") >= least), "identity", results).select("query", "rank", "id", "identity")
 
 
 def recall(found: DataFrame, best: DataFrame) -> DataFrame:
@@ -206,14 +362,43 @@ def recall(found: DataFrame, best: DataFrame) -> DataFrame:
     return best.join(hits, ["query", "id"], "left").groupBy("query").agg(F.count("*").alias("n_best"), F.count("_hit").alias("n_found"))
 
 
+def translated(proteins: DataFrame, genes: DataFrame, word: int = 4, candidates: int = PER_RESULT) -> DataFrame:
+    """``(query, gene, frame, shared, score, identity)``: for each protein the gene, and its frame, that it matches best.
+
+    Both have ``id`` and ``s``.  A gene's words are those of its six frames,
+    each read to its first stop; of the ``candidates`` genes that share most
+    words with a protein all six frames are aligned with it (BLOSUM62).  Of a
+    gene the first frame with the highest score counts, of the genes the one
+    with the highest identity, ties by id.
+    """
+    from helixspark.functions import pairs as p
+
+    frames = genes.select("id", F.posexplode(seq.six_frames(F.col("s"))).alias("_at", "f"))
+    frames = frames.select("id", "_at", "f.frame", F.substring_index(seq.amino_acids(F.col("f.bases")), "*", 1).alias("t")).where(F.col("t") != "")
+    amino = "ACDEFGHIKLMNPQRSTVWY"
+    index = code_index(frames.select("id", F.col("t").alias("s")), word, amino).distinct()
+    best = SharedWords(code_index(proteins, word, amino), index).top(candidates, itself=True)
+    both = best.join(proteins.select(F.col("id").alias("query"), F.col("s").alias("_q")), "query").join(frames, "id")
+    done = both.repartition(genes.sparkSession.sparkContext.defaultParallelism * 4, "query", "id", "_at")
+    done = done.select("query", F.col("id").alias("gene"), "frame", "_at", "shared", align_udf("protein")("_q", "t").alias("x"))
+    found = done.select("query", "gene", "frame", "_at", "shared", F.col("x.score").alias("score"), p.identity(p.statistics(F.col("x.a"), F.col("x.b"))).alias("identity"))
+    frame = found.groupBy("query", "gene", "shared").agg(F.max(F.struct("score", (-F.col("_at")).alias("_a"), "frame", "identity")).alias("b"))
+    flat = frame.select("query", "gene", F.col("b.frame").alias("frame"), "shared", F.col("b.score").alias("score"), F.col("b.identity").alias("identity"))
+    return top(flat, "identity", 1, tie="gene").drop("rank")
+
+
 def containment(queries: DataFrame, genes: DataFrame, least: int = K) -> DataFrame:
-    """``(query, id)``: the gene stands word for word within the query, found by the gene's first word of ``least`` letters.
+    """``(query, id)``: the gene stands word for word within the query.
 
-    Both have ``id`` and ``s``; genes shorter than ``least`` take no part, a
-    sequence doesn't contain itself.
+    Both have ``id`` and ``s``.  A gene is found by its first word of
+    ``least`` letters, or by its whole text where that is shorter; empty
+    texts stand nowhere, a sequence doesn't contain itself.
     """
-    q = queries.select(F.col("id").alias("query"), F.explode(seq.kmers(F.col("s"), least)).alias("_seed"))
-    g = genes.where(F.length("s") >= least).select("id", F.left("s", F.lit(least)).alias("_seed"), F.length("s").alias("_n"))
-    near = q.join(g, "_seed").where("query <> id").select("query", "id").distinct()
+    g = genes.where("s <> ''").select("id", F.left("s", F.lit(least)).alias("_seed"))
+    sizes = range(1, least + 1)
+    q = queries.select(F.col("id").alias("query"), F.explode(F.array_distinct(F.flatten(F.array(*[seq.kmers(F.col("s"), n) for n in sizes])))).alias("_seed"))
+    near = q.join(g.groupBy("_seed").agg(F.count("*")).select("_seed"), "_seed", "left_semi")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
+    near = near.select("query", "_seed", salts).join(g.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALT))), ["_seed", "_salt"]).where("query <> id").select("query", "id")
     both = with_sequences(near, genes)
     return both.where(F.contains("query_s", "s")).select("query", "id")

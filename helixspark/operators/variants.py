@@ -88,6 +88,9 @@ def protein_substitutions(df: DataFrame) -> DataFrame:
         kind.alias("class"), group(F.col("r")).alias("reference_group"), group(F.col("q")).alias("query_group"), F.element_at(scores, F.concat("r", "q")).cast("int").alias("blosum62"))
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Substitutions per class and consequence."""
-    return found.groupBy("class", "consequence").agg(F.count("*").alias("n"))
+def summary(substituted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(kind, class, consequence, n, n_letters)``: substitutions per class and consequence, indel blocks per kind and whether they break the frame."""
+    subs = substituted.groupBy("class", "consequence").agg(F.count("*").alias("n")).select(F.lit("substitution").alias("kind"), "class", "consequence", "n", F.col("n").alias("n_letters"))
+    consequence = F.when(F.col("frameshift"), "frameshift").otherwise("in_frame")
+    indels = blocks.groupBy(F.col("kind").alias("class"), consequence.alias("consequence")).agg(F.count("*").alias("n"), F.sum("n").cast("bigint").alias("n_letters"))
+    return subs.unionByName(indels.select(F.lit("indel").alias("kind"), "class", "consequence", "n", "n_letters"))

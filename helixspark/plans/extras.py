@@ -49,7 +49,7 @@ def mutated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """JON-06, SRT-05, DST-06: likeness of the names of canonical organisms of one category, both ways round; the list is fixed and small."""
+    """Likeness of the names of canonical organisms of one category, both ways round; the list is fixed and small."""
     s = table(spark, d, "species").select("species_id", "name", "category")
     a, b = s.alias("a"), s.alias("b")
     half = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.species_id") < F.col("b.species_id")))
@@ -96,11 +96,7 @@ def hit_table(spark: SparkSession, d: str) -> DataFrame:
 def nearest_lengths(spark: SparkSession, d: str) -> DataFrame:
     """SIM-04: for each query the ten genes nearest in length, where nothing but metadata is at hand."""
     genes = dna(spark, d).select("id", F.length("s").cast("bigint").alias("n"))
-    queries = genes.where(F.col("id") % similarity.EVERY == 0)
-    near = search.length_window(queries, genes).join(queries.select(F.col("id").alias("query"), F.col("n").alias("m")), "query").join(genes, "id")
-    gap = F.abs(F.col("n") - F.col("m"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(gap, "id"))
-    return near.withColumn("rank", rank.cast("bigint")).where("rank <= 10").select("query", "rank", "id", gap.alias("gap"))
+    return search.nearest_lengths(genes.where(F.col("id") % similarity.EVERY == 0), genes, 10)
 
 
 def bundle_fix(spark: SparkSession, d: str) -> DataFrame:

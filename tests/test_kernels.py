@@ -46,10 +46,31 @@ def test_global_protein_and_batches():
     assert align.align_global([p[0] for p in pairs], [p[1] for p in pairs], "protein") == [plain_global(*p, "protein") for p in pairs]
 
 
+def test_rows_filled_again_give_the_same_way_back(monkeypatch):
+    """With few cells at once only some rows are stored and the others filled twice."""
+    rng = random.Random(7)
+    pairs = [tuple("".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 40))) for _ in "ab") for _ in range(80)]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    want = align.align_global(a, b), align.align_local(a, b)
+    for cells in (1000, 100, 1):
+        monkeypatch.setattr(align, "CELLS", cells)
+        assert (align.align_global(a, b), align.align_local(a, b)) == want
+
+
+def test_no_length_is_refused():
+    rng = random.Random(8)
+    a = "".join(rng.choice("ACGT") for _ in range(9000))
+    b = a[:3000] + "TT" + a[3000:7000] + a[7010:]
+    (x, y, _), = align.align_global([a], [b])
+    assert x.replace("-", "") == a and y.replace("-", "") == b and x.count("-") == 2 and y.count("-") == 10
+    (x, y, s, *_), = align.align_local([a], [b])
+    assert x.replace("-", "") in a and len(x) > 8900 and s > 17000
+
+
 def test_known_alignments():
-    (a, b, _), = align.align_global(["ATGCGATCGATCG"], ["ATGCGATCGATCG"])
-    assert a == b == "ATGCGATCGATCG"
-    (a, b, _), = align.align_global(["ATGC"], ["ATGGC"])
+    (a, b, _), = align.align_global(["GGTCAATCCA"], ["GGTCAATCCA"])
+    assert a == b == "GGTCAATCCA"
+    (a, b, _), = align.align_global(["GTCA"], ["GTTCA"])
     assert "-" in a and len(a) == len(b) == 5
     (a, b, s, i, j), = align.align_local(["TTTACGTACGTTT"], ["GGACGTACGGG"])
     assert (a, b, s) == ("ACGTACG", "ACGTACG", 14)
