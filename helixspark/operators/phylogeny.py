@@ -171,7 +171,7 @@ def all_pairs(records: DataFrame, kind: str) -> DataFrame:
     both = a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.s").alias("s"), F.col("b.s").alias("t"))
     both = both.repartition(records.sparkSession.sparkContext.defaultParallelism * 4, "i", "j")
     done = both.select("i", "j", F.greatest(F.length("s"), F.length("t")).alias("_n"), align_udf(kind)("s", "t").alias("x"))
-    found = done.select("i", "j", p.statistics(F.col("x.a"), F.col("x.b"))["matches"].alias("matches"), "_n")
+    found = done.select("i", "j", F.col("x.matches").alias("matches"), "_n")
     found = found.withColumn("similarity", F.when(F.col("_n") > 0, F.col("matches") / F.col("_n")).otherwise(0.0)).withColumn("distance", 1 - F.col("similarity"))
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "i", "j")).cast("bigint")).drop("_n")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -230,21 +231,33 @@ def sequence_trigram_top(queries: DataFrame, genes: DataFrame, k: int, ratio: in
     return top(kept.select("query", F.explode("ids").alias("id"), "score").where("query <> id"), "score", k).select("query", "rank", "id", "score")
 
 
+def _columns(a: str, b: str) -> tuple[int, int, int]:
+    """Equal columns, columns with a gap, and all columns of two aligned texts."""
+    x, y = (np.frombuffer(t.encode("ascii", "replace"), dtype=np.uint8) for t in (a, b))
+    gap = (x == ord("-")) | (y == ord("-"))
+    return int(((x == y) & ~gap).sum()), int(gap.sum()), len(x)
+
+
 def align_udf(kind: str = "dna", local: bool = False):
-    """Arrow kernel over batches of pairs: ``struct(a, b, score)``; a pair with a null gives nulls."""
+    """Arrow kernel over batches of pairs: ``struct(a, b, score, matches, gaps, n)``, with counts of columns; a pair with a null gives nulls."""
 
-    @F.pandas_udf("a string, b string, score int")
+    @F.pandas_udf("a string, b string, score int, matches bigint, gaps bigint, n bigint")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for x, y in batches:
             ok = x.notna() & y.notna()
             solve = kernel.align_local if local else kernel.align_global
             done = iter(solve(x[ok].tolist(), y[ok].tolist(), kind))
-            rows = [next(done)[:3] if good else (None, None, None) for good in ok]
-            yield pd.DataFrame(rows, columns=["a", "b", "score"])
+            rows = [(*(z := next(done)[:3]), *_columns(z[0], z[1])) if good else (None,) * 6 for good in ok]
+            yield pd.DataFrame(rows, columns=["a", "b", "score", "matches", "gaps", "n"])
 
     return run
 
 
+def aligned_identity(x: Column) -> Column:
+    """Percent of equal columns, gaps included, of what ``align_udf`` gives; 0 without columns."""
+    return F.when(x["n"] == 0, 0.0).otherwise(100 * x["matches"] / x["n"])
+
+
 def with_sequences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Sequences fetched for the pairs only: ``texts`` has ``id`` and ``s``."""
     t = texts.select("id", "s")
@@ -288,13 +301,11 @@ def classes(genes: DataFrame, results: int) -> DataFrame:
 
 def _aligned(both: DataFrame, kind: str, parallel: int) -> DataFrame:
     """Pairs of a query with a class, aligned, one row for each of the class's ids other than the query."""
-    from helixspark.functions import pairs as p
-
     # a pair costs the product of its lengths, so pairs are dealt one by one, not query by query
-    done = both.repartition(parallel, "query", "id").select("query", "shared", F.length("query_s").alias("_n"), "ids", align_udf(kind)("query_s", "s").alias("x")).where(F.col("x.score").isNotNull())
-    st = p.statistics(F.col("query_aligned"), F.col("gene_aligned"))
-    found = done.select("query", "ids", "shared", "_n", F.col("x.score").alias("score"), F.col("x.a").alias("query_aligned"), F.col("x.b").alias("gene_aligned"))
-    found = found.withColumn("_st", st).withColumn("identity", p.identity(F.col("_st"))).withColumn("coverage", p.coverage(F.col("_st"), F.col("_n")))
+    dealt = both.repartition(parallel, "query", "id").select("query", "shared", F.length("query_s").alias("_n"), "ids", align_udf(kind)("query_s", "s").alias("x"))
+    x = F.col("x")
+    cover = F.when(F.col("_n") > 0, 100 * (x["n"] - x["gaps"]) / F.col("_n")).otherwise(0.0)
+    found = dealt.select("query", "ids", "shared", x["score"].alias("score"), x["a"].alias("query_aligned"), x["b"].alias("gene_aligned"), aligned_identity(x).alias("identity"), cover.alias("coverage"))
     return found.withColumn("id", F.explode("ids")).where("query <> id").select("query", "id", "shared", "score", "query_aligned", "gene_aligned", "identity", "coverage")
 
 
@@ -371,8 +382,6 @@ def translated(proteins: DataFrame, genes: DataFrame, word: int = 4, candidates:
     gene the first frame with the highest score counts, of the genes the one
     with the highest identity, ties by id.
     """
-    from helixspark.functions import pairs as p
-
     frames = genes.select("id", F.posexplode(seq.six_frames(F.col("s"))).alias("_at", "f"))
     frames = frames.select("id", "_at", "f.frame", F.substring_index(seq.amino_acids(F.col("f.bases")), "*", 1).alias("t")).where(F.col("t") != "")
     amino = "ACDEFGHIKLMNPQRSTVWY"
@@ -381,7 +390,7 @@ def translated(proteins: DataFrame, genes: DataFrame, word: int = 4, candidates:
     both = best.join(proteins.select(F.col("id").alias("query"), F.col("s").alias("_q")), "query").join(frames, "id")
     done = both.repartition(genes.sparkSession.sparkContext.defaultParallelism * 4, "query", "id", "_at")
     done = done.select("query", F.col("id").alias("gene"), "frame", "_at", "shared", align_udf("protein")("_q", "t").alias("x"))
-    found = done.select("query", "gene", "frame", "_at", "shared", F.col("x.score").alias("score"), p.identity(p.statistics(F.col("x.a"), F.col("x.b"))).alias("identity"))
+    found = done.select("query", "gene", "frame", "_at", "shared", F.col("x.score").alias("score"), aligned_identity(F.col("x")).alias("identity"))
     frame = found.groupBy("query", "gene", "shared").agg(F.max(F.struct("score", (-F.col("_at")).alias("_a"), "frame", "identity")).alias("b"))
     flat = frame.select("query", "gene", F.col("b.frame").alias("frame"), "shared", F.col("b.score").alias("score"), F.col("b.identity").alias("identity"))
     return top(flat, "identity", 1, tie="gene").drop("rank")
