@@ -9,6 +9,7 @@ element belongs to.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,18 +32,65 @@ def _decoded(v):
             return v
         try:
             v = json.loads(s)
-        except (ValueError, RecursionError):
+        except ValueError:
             return v
+        except RecursionError:
+            try:
+                v = loads_deep(s)
+            except ValueError:
+                return v
     return v
 
 
-def walk(value, column: str) -> Iterator[tuple[str, str, tuple[str, ...], bool, dict]]:
+_TOKEN = re.compile(r'[ \t\n\r]*([{}\[\],:]|"(?:[^"\\\x00-\x1f]|\\.)*"|[^{}\[\],:"\s]+)', re.S)
+
+
+def loads_deep(text: str):
+    """JSON of any depth, with an explicit stack; an error is a ``ValueError`` as in ``json.loads``."""
+    at, end, root, done = 0, len(text), [], False
+    # (container, key that waits for its value, what may come next)
+    stack: list[list] = [[root, None, "value"]]
+    while at < end and (m := _TOKEN.match(text, at)):
+        at, token = m.end(), m[1]
+        holder, key, state = stack[-1]
+        if token in "{[" and state in ("value", "value or end"):
+            new = {} if token == "{" else []
+            _put(stack[-1], new)
+            stack.append([new, None, "key or end" if token == "{" else "value or end"])
+        elif token in "}]" and len(stack) > 1 and (token == "}") == isinstance(holder, dict) and state in ("key or end", "value or end", "more"):
+            stack.pop()
+        elif token == "," and state == "more" and len(stack) > 1:
+            stack[-1][2] = "key" if isinstance(holder, dict) else "value"
+        elif token == ":" and state == "colon":
+            stack[-1][2] = "value"
+        elif token[0] == '"' and state in ("key", "key or end"):
+            stack[-1][1:] = [json.loads(token), "colon"]
+        elif token not in "{}[],:" and state in ("value", "value or end"):
+            _put(stack[-1], json.loads(token))
+        else:
+            raise ValueError(f"unexpected {token!r}")
+    done = len(stack) == 1 and len(root) == 1 and not text[at:].strip(" \t\n\r")
+    if not done:
+        raise ValueError("unfinished text")
+    return root[0]
+
+
+def _put(frame: list, value) -> None:
+    holder, key, _ = frame
+    if isinstance(holder, dict):
+        holder[key] = value
+    else:
+        holder.append(value)
+    frame[1:] = [None, "more"]
+
+
+def walk(value, column: str) -> Iterator[tuple[str, str, tuple[int, ...], bool, dict]]:
     """Object nodes of one value as ``(path, label, lone paths, below a lone root, node)``, parents first.
 
-    A lone object's position is ``ALONE`` and its path is among the lone
-    paths; whether it counts as an array of one is settled once all rows are
-    known.  A lone root has the empty label.  The stack is explicit, so depth
-    is bounded by the parser only.
+    A lone object's position is ``ALONE`` and its path, which starts those of
+    all below it, is among the lone paths by its length; whether it counts as an array of one is settled once all rows are
+    known.  A lone root has the empty label.  The stack is explicit, here as
+    in the parser of very deep texts, so no depth is refused.
     """
     root = _decoded(value)
     lone_root = isinstance(root, dict)
@@ -51,7 +99,7 @@ def walk(value, column: str) -> Iterator[tuple[str, str, tuple[str, ...], bool,
         v, path, label, alone, placed = stack.pop()
         if isinstance(v, dict):
             if not placed:
-                label, alone = f"{label}.{ALONE}" if label else ALONE, (*alone, path)
+                label, alone = f"{label}.{ALONE}" if label else ALONE, (*alone, len(path))
             yield path, label, alone, lone_root, v
             for k in reversed(v):
                 x = _decoded(v[k])
@@ -64,8 +112,8 @@ def walk(value, column: str) -> Iterator[tuple[str, str, tuple[str, ...], bool,
                     stack.append((x, path, f"{label}.{i}" if label else str(i), alone, True))
 
 
-_NODE = "id bigint, path string, item string, alone array<string>, rooted boolean"
-_ARROW = pa.schema([("id", pa.int64()), ("path", pa.string()), ("item", pa.string()), ("alone", pa.list_(pa.string())), ("rooted", pa.bool_())])
+_NODE = "id bigint, path string, item string, alone array<int>, rooted boolean"
+_ARROW = pa.schema([("id", pa.int64()), ("path", pa.string()), ("item", pa.string()), ("alone", pa.list_(pa.int32())), ("rooted", pa.bool_())])
 
 
 def _record_batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -99,7 +147,7 @@ def _nodes(columns: list[str], with_node: bool):
 
 def _shapes(columns: list[str]):
     """The distinct ``(path, lone paths)`` of each batch: what the second pass needs to know of all rows."""
-    schema = pa.schema([("path", pa.string()), ("alone", pa.list_(pa.string())), ("root", pa.bool_())])
+    schema = pa.schema([("path", pa.string()), ("alone", pa.list_(pa.int32())), ("root", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,19 +177,19 @@ def elements(df: DataFrame, columns: list[str], id_column: str = "id", with_node
     source = df.select(F.col(id_column).cast("bigint").alias("id"), *texts)
     nodes = source.mapInArrow(_nodes(columns, with_node), _NODE + ", node string" * with_node)
     # one row per schema path and lone paths above it: as large as the schema, read several times below
-    shapes = checkpoint(source.select(*columns).mapInArrow(_shapes(columns), "path string, alone array<string>, root boolean").distinct())
-    arrays = shapes.where(~F.col("root") & ~F.array_contains("alone", F.col("path"))).select(F.col("path").alias("lone")).distinct()
+    shapes = checkpoint(source.select(*columns).mapInArrow(_shapes(columns), "path string, alone array<int>, root boolean").distinct())
+    arrays = shapes.where(~F.col("root") & ~F.array_contains("alone", F.length("path"))).select(F.col("path").alias("lone")).distinct()
     # columns whose top level is an array in some row: at most as many rows as there are columns
     roots = arrays.where(F.col("lone").isin(columns)).select(F.col("lone").alias("_root"))
     # the lone paths of a shape that are arrays elsewhere
-    known = shapes.where(F.size("alone") > 0).select("path", "alone", F.explode("alone").alias("lone")).join(arrays, "lone", "left_semi")
-    known = known.groupBy("path", "alone").agg(F.collect_set("lone").alias("_arrays"))
+    known = shapes.where(F.size("alone") > 0).select("path", "alone", F.explode("alone").alias("_at")).withColumn("lone", F.substring("path", F.lit(1), F.col("_at")))
+    known = known.join(arrays, "lone", "left_semi").groupBy("path", "alone").agg(F.collect_set("_at").alias("_arrays"))
     if shapes.limit(MOST_SHAPES + 1).count() <= MOST_SHAPES:
         known = F.broadcast(known)
-    lone = nodes.join(known, ["path", "alone"], "left").withColumn("_arrays", F.coalesce("_arrays", F.array().cast("array<string>")))
+    lone = nodes.join(known, ["path", "alone"], "left").withColumn("_arrays", F.coalesce("_arrays", F.array().cast("array<int>")))
     # an object alone at its own path is an element only if that path holds arrays
-    own = F.col("item").endswith(ALONE) & (F.try_element_at("alone", F.lit(-1)) == F.col("path"))
-    lone = lone.where(~F.coalesce(own, F.lit(False)) | F.array_contains("_arrays", F.col("path")))
+    own = F.col("item").endswith(ALONE) & (F.try_element_at("alone", F.lit(-1)) == F.length("path"))
+    lone = lone.where(~F.coalesce(own, F.lit(False)) | F.array_contains("_arrays", F.length("path")))
     # the n-th lone step of a label belongs to the n-th lone path
     label = F.aggregate(
         F.split("item", r"\."),

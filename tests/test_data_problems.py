@@ -137,6 +137,25 @@ def test_nested(spark):
     assert {(r["item"], r["c"]) for r in flat} == {("0.0", 1), ("0.3", 2), ("2.0", 3)}
 
 
+@pytest.mark.parametrize("text", ['{"a": [1, {"b": "x,\\"]"}], "c": {}}', "[]", " [ [ ] , { } ] ", '"x"', "5", '{"a": -1.5e3, "a": null}', '[true,false,null,"\\u00e9"]', "", "{", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "[}", "]", "{1:2}", '{"a":1} x', "[1]]", "nul", '["a'])
+def test_deep_parser_agrees(text):
+    def outcome(f):
+        try:
+            return f(text)
+        except ValueError:
+            return "error"
+
+    assert outcome(nested.loads_deep) == outcome(json.loads)
+
+
+def test_nested_keeps_the_shallow_elements_of_a_deep_text(spark):
+    deep = '{"deep": ' + "[" * 30_000 + "]" * 30_000 + ', "a": [{"x": 1}, {"y": ' + '{"z":' * 1500 + "[{}]" + "}" * 1500 + "}]}"
+    df = spark.createDataFrame([(1, deep), (2, "[" * 30_000)], "id bigint, record string")
+    got = nested.elements(df, ["record"]).select("path", "item").collect()
+    assert {(r["path"], r["item"]) for r in got if len(r["path"]) < 20} == {("record.a", "0"), ("record.a", "1")}
+    assert [r["item"] for r in got if len(r["path"]) > 3000] == ["1.0"]
+
+
 def test_nested_structs(spark):
     df = spark.createDataFrame([(1, [{"s": [{"x": 1}, None]}, None, {"s": []}])], "id bigint, p array<struct<s:array<struct<x:int>>>>")
     assert {tuple(r) for r in nested.elements(df, ["p"]).collect()} == {(1, "p", "0"), (1, "p", "2"), (1, "p.s", "0.0")}
