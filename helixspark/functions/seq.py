@@ -85,6 +85,17 @@ def validate(s: Column, kind: Column, least_dna: int = 10, least_protein: int =
     )
 
 
+def record_class(sequence: Column, declared: Column, source: Column, accession: Column | None = None) -> Column:
+    """FLT-04: ``dna``, ``rna``, ``protein`` or ``unknown`` of a record with letters, by its declared type, else its alphabet; else the kind of its metadata."""
+    s, kind = F.upper(F.trim(F.coalesce(sequence, F.lit("")))), F.lower(F.coalesce(declared, F.lit("")))
+    by_type = F.element_at(_map({w: t for t, ws in schema.DECLARED.items() for w in ws}), kind)
+    by_letters = F.when(s.rlike("[BFJLOUZX]"), "protein").when(s.rlike("^[ACGTUN]+$"), "dna").when(s.rlike("^[ACGTURYSWKMBDHVN]+$"), "rna").otherwise("unknown")
+    origin = F.lower(F.coalesce(source, F.lit("")))
+    series = F.coalesce(accession.startswith("GSE"), F.lit(False)) if accession is not None else F.lit(False)
+    metadata = F.when(origin.contains("geo") | series, "metadata_geo").when(origin.contains("atlas"), "metadata_atlas").otherwise("metadata")
+    return F.when(s != "", F.coalesce(by_type, by_letters)).otherwise(metadata)
+
+
 def gc_fraction(s: Column) -> Column:
     """(G + C) / length, ambiguous letters in the denominator; 0 for an empty text."""
     return F.when(F.length(s) == 0, 0.0).otherwise(count_of(s, "GC") / F.length(s))

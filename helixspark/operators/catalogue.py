@@ -117,3 +117,40 @@ def faults(df: DataFrame) -> Column:
     return F.coalesce(
         *[F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"missing {c}")) for c in ("gene_id", "symbol", "sequence", "sequence_type")],
         F.when(~kinds.isin("dna", "protein", "rna"), F.lit("unknown sequence_type")))
+
+
+#: Rules by which records of several files count as one.
+RULES = ("key_organism", "key_or_record", "none")
+
+
+def deduplicated(df: DataFrame, rule: str) -> DataFrame:
+    """SET-03: One row of each set of equal records, the first by all its columns in order.
+
+    ``key_organism``: records of one gene id and organism are one, an empty or
+    missing id being an id like any other (a missing organism is Unknown).
+    ``key_or_record``: those of one gene id, else symbol, and organism; a
+    record with neither equals only the same record.  ``none``: all stay.
+    """
+    if rule not in RULES:
+        raise ValueError(f"no such rule: {rule}")
+    if rule == "none":
+        return df
+    whole = F.to_json(F.struct(*sorted(df.columns)))
+    if rule == "key_organism":
+        key = F.concat(F.coalesce("gene_id", F.lit("")), F.lit("::"), F.coalesce("organism", F.lit("Unknown")))
+    else:
+        name = truthy(F.col("gene_id"), F.col("symbol"))
+        key = F.coalesce(F.concat(name, F.lit("::"), F.coalesce("organism", F.lit(""))), whole)
+    plain = [F.asc_nulls_last(c) for c, t in df.dtypes if t in ("timestamp", "bigint", "int", "string", "double")]
+    return first_of(df.withColumn("_key", key), ["_key"], plain).drop("_key")
+
+
+def master_totals(df: DataFrame) -> DataFrame:
+    """``(total_genes, total_species)`` of one set of records."""
+    return df.agg(F.count("*").alias("total_genes"), F.countDistinct(F.coalesce("organism", F.lit("Unknown"))).alias("total_species"))
+
+
+def by_length_cap(df: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """SRC-12: Rows ``(sequence_type, length)`` no longer than the cap of their type; types without cap give no rows."""
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
+    return df.where(F.col("length") <= F.element_at(cap, F.col("sequence_type")))

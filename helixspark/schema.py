@@ -87,3 +87,13 @@ BLOSUM_ROWS = """
 -2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
 """
+
+#: Words by which records declare what kind of sequence they hold.
+DECLARED = {
+    "protein": ["protein", "aa", "amino_acid", "peptide"],
+    "rna": ["rna", "mrna", "trna", "rrna", "transcript"],
+    "dna": ["dna", "genomic", "cdna", "cds", "nucleotide"],
+}
+
+#: Longest sequence of each type that is collected.
+CAPS = {"dna": 100_000, "rna": 50_000, "protein": 20_000}

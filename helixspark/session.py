@@ -12,6 +12,7 @@ CONFS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -29,16 +30,24 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int = 8
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that setting is absent (tests, a laptop) a temporary folder is set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
+    a session on one machine (tests, a laptop) may go without that setting
+    and gets a temporary folder; executors on several couldn't read it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "helixspark-checkpoints"))
+        sc.setCheckpointDir(checkpoint_folder(sc.getConf().get("spark.checkpoint.dir"), sc.master))
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(named: str | None, master: str) -> str:
+    if named:
+        return named
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "helixspark-checkpoints")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.functions import seq
 from helixspark.operators import catalogue
 
 #: Rows that a report for people may hold.
@@ -15,7 +17,7 @@ MOST_IN_REPORT = 10_000
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """SNK-01, SNK-10, SNK-12: One JSON object per row, in a folder per value of ``by``."""
+    """SNK-10, SNK-12: One JSON object per row, in a folder per value of ``by``."""
     out = df.write.mode("overwrite")
     (out.partitionBy(*by) if by else out).json(path)
 
@@ -31,11 +33,19 @@ def write_metrics(df: DataFrame, id_column: str, path: str) -> None:
     metrics(df, id_column).write.mode("overwrite").csv(path, header=True)
 
 
-def write_fasta(df: DataFrame, path: str, name: str = "symbol", sequence: str = "sequence", width: int = 60) -> None:
-    """SNK-06: FASTA with the length in the header and lines of ``width`` letters; rows without letters are left out."""
+def fasta_lines(df: DataFrame, name: str = "symbol", sequence: str = "sequence", width: int = 60) -> DataFrame:
+    """SNK-06: FASTA records with length, and G + C of bases, in the header and lines of ``width`` letters; rows without letters are left out."""
     body = F.regexp_replace(sequence, f"(.{{{width}}})(?=.)", "$1\n")
-    line = F.concat(F.lit(">"), F.coalesce(name, F.lit("Sequence")), F.lit(" | length="), F.length(sequence), F.lit("\n"), body)
-    df.where(F.coalesce(F.length(sequence), F.lit(0)) > 0).select(line.alias("value")).write.mode("overwrite").text(path)
+    s = F.upper(sequence)
+    share = F.format_number(100 * seq.gc_fraction(s), 2)
+    unit = F.when(s.rlike("^[ACGTUN]+$"), F.concat(F.lit("bp | GC="), share, F.lit("%"))).otherwise("aa")
+    line = F.concat(F.lit(">"), F.coalesce(name, F.lit("Sequence")), F.lit(" | length="), F.length(sequence), unit, F.lit("\n"), body)
+    return df.where(F.coalesce(F.length(sequence), F.lit(0)) > 0).select(line.alias("value"))
+
+
+def write_fasta(df: DataFrame, path: str, name: str = "symbol", sequence: str = "sequence", width: int = 60) -> None:
+    """SNK-06: ``fasta_lines`` as text files."""
+    fasta_lines(df, name, sequence, width).write.mode("overwrite").text(path)
 
 
 def write_newick(trees: DataFrame, path: str, group: str = "group", tree: str = "upgma") -> None:
@@ -68,8 +78,11 @@ def write_package(df: DataFrame, folder: str, name: str, id_column: str) -> dict
 
 
 def store(df: DataFrame, path: str) -> None:
-    """SNK-11, SNK-16: The catalogue's layout: a folder per sequence type, rows of like length together, so that type and length prune the scan."""
-    df.repartition("sequence_type").sortWithinPartitions("length").write.mode("overwrite").partitionBy("sequence_type").parquet(path)
+    """SNK-16: The catalogue's layout: a folder per sequence type, rows of like length together, so that type and length prune the scan.
+
+    Ranges over type and length give every task its share, however few types there are.
+    """
+    df.repartitionByRange("sequence_type", "length").sortWithinPartitions("sequence_type", "length").write.mode("overwrite").partitionBy("sequence_type").parquet(path)
 
 
 def store_index(index: DataFrame, path: str, word: str = "kmer", parts: int = 64) -> None:
@@ -77,10 +90,51 @@ def store_index(index: DataFrame, path: str, word: str = "kmer", parts: int = 64
     index.repartitionByRange(parts, word).sortWithinPartitions(word).write.mode("overwrite").parquet(path)
 
 
+def store_trigrams(df: DataFrame, path: str, name: str = "symbol", id_column: str = "id", parts: int = 64) -> None:
+    """SNK-16: The trigram index: one row per trigram and record, clustered by trigram."""
+    index = df.select(F.col(id_column).alias("id"), F.explode(seq.trigrams(F.col(name))).alias("trigram"))
+    store_index(index, path, "trigram", parts)
+
+
+def write_master(parts: list[DataFrame], path: str, rule: str = "key_or_record") -> DataFrame:
+    """SNK-11: The parts, one per species, as one set of records by one of the rules of ``catalogue.deduplicated``, and its totals beside it.
+
+    Records are JSON lines in ``path/genes``; ``path/metadata`` has one line
+    with the totals, which are also returned.
+    """
+    kept = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    kept = catalogue.deduplicated(kept, rule)
+    kept.write.mode("overwrite").json(f"{path}/genes")
+    totals = catalogue.master_totals(df_or_empty(kept, path))
+    totals.write.mode("overwrite").json(f"{path}/metadata")
+    return totals
+
+
+def df_or_empty(kept: DataFrame, path: str) -> DataFrame:
+    """The records just written, read under their own schema, so that a file without rows has columns too."""
+    return kept.sparkSession.read.schema(kept.schema).json(f"{path}/genes")
+
+
+def text_report(df: DataFrame) -> DataFrame:
+    """SNK-06: ``(id, value)``: the lines of a plain report on each sequence ``(id, s, sequence_type)``: length, and G + C and A + T of bases."""
+    s, base = F.col("s"), F.coalesce(F.col("sequence_type") != "protein", F.lit(True))
+    share = lambda letters: F.format_number(F.when(F.length(s) > 0, 100 * seq.count_of(s, letters) / F.length(s)).otherwise(0.0), 2)
+    lines = F.array(
+        F.lit("Analysis Report"), F.lit("=" * 50), F.concat(F.lit("Sequence Length: "), F.length(s), F.when(base, " bp").otherwise(" aa")),
+        F.when(base, F.concat(F.lit("GC Content: "), share("GC"), F.lit("%"))), F.when(base, F.concat(F.lit("AT Content: "), share("AT"), F.lit("%"))))
+    return df.select("id", F.array_join(F.array_compact(lines), "\n").alias("value"))
+
+
+def latest_first(df: DataFrame, at: str = "date_added") -> list:
+    """The order that puts the latest of repeated keys first: by ``at`` where there is such a column, then by the other plain columns."""
+    plain = [c for c, t in df.dtypes if t in ("timestamp", "bigint", "int", "string") and c != at]
+    return [*([F.desc_nulls_last(at)] if at in df.columns else []), *[F.desc_nulls_last(c) for c in plain]]
+
+
 def merge_into(old_path: str, new: DataFrame, key: str, new_path: str) -> None:
-    """SNK-08, SNK-09: The stored catalogue with ``new`` merged in, written beside it; of repeated keys in ``new`` the greatest row counts."""
+    """SNK-08, SNK-09: The stored catalogue with ``new`` merged in, written beside it; of repeated keys in ``new`` the latest row counts."""
     spark = new.sparkSession
-    latest = catalogue.first_of(new, [key], [F.desc(c) for c, t in new.dtypes if t in ("timestamp", "bigint", "int", "string")])
+    latest = catalogue.first_of(new, [key], latest_first(new))
     catalogue.upsert(spark.read.parquet(old_path).select(*new.columns), latest, key).write.mode("overwrite").parquet(new_path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixspark import schema
 from helixspark.functions import seq
 
 
@@ -68,7 +69,11 @@ def as_database(records: DataFrame) -> DataFrame:
 
 def read_uploads(spark: SparkSession, path: str, most_bytes: int = 5_000_000) -> DataFrame:
     """SRC-22: ``(path, text, fault)``: files as text, UTF-8 or else Latin-1; larger ones give the fault ``too large`` and no text."""
-    rows = spark.read.format("binaryFile").load(path)
+    return decode_uploads(spark.read.format("binaryFile").load(path), most_bytes)
+
+
+def decode_uploads(rows: DataFrame, most_bytes: int = 5_000_000) -> DataFrame:
+    """``read_uploads`` of rows ``(path, length, content)``."""
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     small = F.col("length") <= most_bytes
     return rows.select("path", F.when(small, text).alias("text"), F.when(~small, "too large").alias("fault"))
@@ -76,8 +81,27 @@ def read_uploads(spark: SparkSession, path: str, most_bytes: int = 5_000_000) ->
 
 def read_species(spark: SparkSession, path: str) -> DataFrame:
     """SRC-20: Names in a list, one a line; blank lines and those that start with ``#`` are skipped."""
+    return species_names(spark.read.text(path))
+
+
+def species_names(lines: DataFrame) -> DataFrame:
+    """``read_species`` of lines ``(value)``."""
     name = F.trim("value")
-    return spark.read.text(path).where((name != "") & ~name.startswith("#")).select(name.alias("name"))
+    return lines.where((name != "") & ~name.startswith("#")).select(name.alias("name"))
+
+
+#: Fixed value: the filter that keeps a search to plants.
+PLANTS = "plants[filter]"
+
+
+def search_terms(accession: Column, organism: Column | None = None, plants_only: bool = True) -> Column:
+    """SRC-11: The searches that resolve an accession, in the order they are tried: as an accession, then, where it reads like a locus, as a gene."""
+    locus = accession.rlike(r"(?i)^[A-Z]{1,2}\d+[A-Z]\d+$")
+    tail = F.lit(f" AND {PLANTS}" if plants_only else "")
+    if organism is not None:
+        tail = F.concat(tail, F.coalesce(F.concat(F.lit(' AND "'), F.nullif(organism, F.lit("")), F.lit('"[Organism]')), F.lit("")))
+    term = lambda field: F.concat(F.lit("("), accession, F.lit(f"[{field}])"), tail)
+    return F.array_compact(F.array(term("Accession"), F.when(locus, term("Gene"))))
 
 
 def ncbi_records(records: DataFrame, kind: str = "dna", longest: dict[str, int] | None = None) -> DataFrame:
@@ -85,7 +109,7 @@ def ncbi_records(records: DataFrame, kind: str = "dna", longest: dict[str, int]
 
     The caps keep whole chromosomes out of the catalogue.
     """
-    caps = {"dna": 100_000, "rna": 50_000, "protein": 20_000} | (longest or {})
+    caps = schema.CAPS | (longest or {})
     header = F.col("header")
     gene = F.split_part(header, F.lit(" "), F.lit(1))
     organism = F.coalesce(F.nullif(F.regexp_extract(header, r"\[([^\]]+)\]", 1), F.lit("")), F.nullif(F.regexp_extract(header, r"^\S+\s+(?:PREDICTED:\s+)?([A-Z][a-z]+ [a-z]+)", 1), F.lit("")), F.lit("Unknown"))

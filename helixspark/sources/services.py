@@ -157,6 +157,25 @@ def tf_families(spark: SparkSession, path: str, families: DataFrame, organism: s
     return rows.join(families, "family", "left").select("gene_id", F.col("tf_id").alias("symbol"), F.lit(organism).alias("organism"), F.lit("protein").alias("sequence_type"), text.alias("description"), F.array(F.concat(F.lit("TF:"), "family"), F.lit("transcription_factor")).alias("traits"), F.lit("planttfdb").alias("source"))
 
 
+def tf_answers(df: DataFrame, families: DataFrame, organism: str, text: str = "value") -> DataFrame:
+    """SRC-15: Answers of the transcription-factor service as genes: pages (``{"data": [...]}`` or a list) and searches (``{"results": [...]}``).
+
+    An entry's id is its ``tf_id``, ``id`` or ``gene_id``; without one it gives no row.
+    """
+    v = F.try_parse_json(F.col(text))
+    lists = [F.try_variant_get(v, path, "array<variant>") for path in ("$.data", "$.results", "$")]
+    e = df.select(F.explode(F.coalesce(*lists)).alias("v"))
+    first = lambda *ks: F.coalesce(*[F.nullif(F.try_variant_get("v", f"$.{k}", "string"), F.lit("")) for k in ks])
+    tf = first("tf_id", "id", "gene_id")
+    letters = F.upper(F.trim(F.replace(F.coalesce(first("sequence", "protein_seq"), F.lit("")), F.lit("\n"), F.lit(""))))
+    rows = e.select(tf.alias("symbol"), F.coalesce(first("gene_id", "locus"), tf).alias("gene_id"), F.coalesce(first("family", "tf_family"), F.lit("Unknown")).alias("family"), first("description").alias("_d"), letters.alias("sequence"))
+    rows = rows.where(F.col("symbol").isNotNull()).join(families, "family", "left")
+    known = F.coalesce("_d", "text", F.concat("family", F.lit(" transcription factor")))
+    return rows.select(
+        "gene_id", "symbol", F.lit(organism).alias("organism"), "sequence", F.lit("protein").alias("sequence_type"), known.alias("description"), F.length("sequence").alias("length"),
+        F.array(F.concat(F.lit("TF:"), "family"), F.lit("transcription_factor")).alias("traits"), F.lit("planttfdb").alias("source"))
+
+
 _ARTICLE = (
     "MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<struct<_Label: string, _VALUE: string>>>, "
     "AuthorList: struct<Author: array<struct<LastName: string, ForeName: string>>>, Journal: struct<Title: string, ISOAbbreviation: string, JournalIssue: struct<PubDate: struct<Year: string, MedlineDate: string>>>>, "

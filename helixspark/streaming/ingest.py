@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from helixspark.sinks.writers import merge_into
+from helixspark.sinks.writers import latest_first, merge_into
 
 
-def versions(folder: str) -> list[int]:
-    """Numbers of the complete versions of a stored catalogue."""
-    if not os.path.isdir(folder):
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions of a stored catalogue, on whatever file system it lies."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return []
-    return sorted(int(v[1:]) for v in os.listdir(folder) if v.startswith("v") and os.path.exists(os.path.join(folder, v, "_SUCCESS")))
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(v[1:]) for v in names if v[:1] == "v" and v[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{v}/_SUCCESS")))
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The latest version of a stored catalogue."""
-    return spark.read.parquet(os.path.join(folder, f"v{versions(folder)[-1]}"))
+    return spark.read.parquet(f"{folder}/v{versions(spark, folder)[-1]}")
 
 
 def ingest(spark: SparkSession, incoming: str, schema: StructType, folder: str, key: str, checkpoint: str) -> StreamingQuery:
@@ -31,10 +33,10 @@ def ingest(spark: SparkSession, incoming: str, schema: StructType, folder: str,
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = [v for v in versions(folder) if v < number + 1]
-        path = os.path.join(folder, f"v{number + 1}")
+        before = [v for v in versions(spark, folder) if v < number + 1]
+        path = f"{folder}/v{number + 1}"
         if before:
-            merge_into(os.path.join(folder, f"v{before[-1]}"), batch, key, path)
+            merge_into(f"{folder}/v{before[-1]}", batch, key, path)
         else:
             merge_into_empty(batch, key, path)
 
@@ -44,8 +46,6 @@ def ingest(spark: SparkSession, incoming: str, schema: StructType, folder: str,
 
 def merge_into_empty(batch: DataFrame, key: str, path: str) -> None:
     """The first version: one row per key."""
-    from pyspark.sql import functions as F
-
     from helixspark.operators.catalogue import first_of
 
-    first_of(batch, [key], [F.desc(c) for c, t in batch.dtypes if t in ("timestamp", "bigint", "int", "string")]).write.mode("overwrite").parquet(path)
+    first_of(batch, [key], latest_first(batch)).write.mode("overwrite").parquet(path)

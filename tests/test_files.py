@@ -96,7 +96,7 @@ def test_services(spark, tmp_path):
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", "ATGC" * 20, 1), ("b", "", 2), ("c", None, None)], "symbol string, sequence string, n int")
     writers.write_fasta(df, str(tmp_path / "f"))
-    assert [(r["header"], len(r["sequence"])) for r in files.read_fasta(spark, str(tmp_path / "f")).collect()] == [("a | length=80", 80)]
+    assert [(r["header"], len(r["sequence"])) for r in files.read_fasta(spark, str(tmp_path / "f")).collect()] == [("a | length=80bp | GC=50.00%", 80)]
     writers.write_metrics(df.select("symbol", "n"), "symbol", str(tmp_path / "m"))
     assert {tuple(r) for r in spark.read.csv(str(tmp_path / "m"), header=True).collect()} == {("a", "n", "1"), ("b", "n", "2"), ("c", "n", "N/A")}
     writers.write_json(df, str(tmp_path / "j"), ["symbol"])
@@ -156,8 +156,10 @@ def test_search_and_variants(spark):
     assert [(r["id"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"])][:2] == [(7, 1), (2, 2)]
     assert {r["id"] for r in search.containment(df.where("id = 1"), df).collect()} == {7}
     n = df.select("id", F.length("s").alias("n"))
-    brute = {(a, b) for a, x in rows for b, y in rows if x and y and a != b and max(len(x), len(y)) <= 3 * min(len(x), len(y))}
-    assert {tuple(r) for r in search.length_window(n, n).collect()} == brute
+    sizes = [len(s) for _, s in rows if s]
+    assert {tuple(r) for r in search.lengths_within(n, n, 3).collect()} == {(m, sum(max(x, m) <= 3 * min(x, m) for x in sizes)) for m in sizes}
+    near = {(a, b) for a, x in rows for b, y in rows if x and y and a != b and max(len(x), len(y)) <= 3 * min(len(x), len(y))}
+    assert {(r["query"], r["id"]) for r in search.nearest_lengths(n, n, 10).collect()} == near
     pair = spark.createDataFrame([(1, base[:12] + base[15:], base, base[:12] + "---" + base[15:], base), (2, base[:12] + "G" + base[12:20] + "A" + base[21:], base, base[:12] + "G" + base[12:20] + "A" + base[21:], base[:12] + "-" + base[12:]), (3, "ATGTCT", "ATGGCT", "ATGTCT", "ATGGCT")], "pair int, query_s string, s string, query_aligned string, gene_aligned string")
     blocks = {(r["pair"], r["kind"], r["n"], r["bases"], r["frameshift"]) for r in variants.indel_blocks(pair).collect()}
     assert blocks == {(1, "deletion", 3, base[12:15], False), (2, "insertion", 1, "G", True)}
@@ -168,7 +170,7 @@ def test_search_and_variants(spark):
 def test_trees_of_groups(spark):
     df = spark.createDataFrame([("g", "a", "ATGCATGCAT"), ("g", "b", "ATGCATGCAA"), ("g", "c", "ATGGATGCAA"), ("g", "d", "ATGGATGCAA"), ("h", "x", "AT")], "group string, name string, s string")
     row, = phylogeny.group_trees(df).collect()
-    assert (row["group"], row["n"], row["n_left"]) == ("g", 3, 0) and row["upgma"].endswith(";")
+    assert (row["group"], row["n"], row["n_placed"]) == ("g", 3, 0) and row["upgma"].endswith(";")
     assert {(r["group"], len(r["aligned"])) for r in phylogeny.group_alignment(df).collect()} == {("g", 10), ("h", 2)}
 
 
@@ -191,6 +193,49 @@ def test_other_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "s" / "two"), header=True).count() == 3 and spark.read.csv(str(tmp_path / "o"), header=True).first()["y"] == "3.0"
 
 
+def test_master_and_rules(spark, tmp_path):
+    columns = "gene_id string, symbol string, organism string, n int"
+    a = spark.createDataFrame([("g", "s", "X", 1), ("g", "t", "X", 2), ("", "u", "X", 3), ("", "v", "X", 4)], columns)
+    b = spark.createDataFrame([("g", "s", "Y", 5), (None, None, "X", 6), (None, None, "X", 6), (None, None, "X", 7)], columns)
+    kept = lambda rule: sorted(r["n"] for r in catalogue.deduplicated(a.unionByName(b), rule).collect())
+    assert kept("key_organism") == [1, 3, 5] and kept("key_or_record") == [1, 3, 4, 5, 6, 7] and kept("none") == [1, 2, 3, 4, 5, 6, 6, 7]
+    with pytest.raises(ValueError):
+        catalogue.deduplicated(a, "other")
+    assert tuple(writers.write_master([a, b], str(tmp_path / "m")).first()) == (6, 2)
+    assert spark.read.json(str(tmp_path / "m" / "genes")).count() == 6 and spark.read.json(str(tmp_path / "m" / "metadata")).first()["total_genes"] == 6
+    assert tuple(writers.write_master([a.limit(0)], str(tmp_path / "e")).first()) == (0, 0)
+    writers.store_trigrams(a.withColumn("id", F.col("n")), str(tmp_path / "t"))
+    assert {(r["id"], r["trigram"]) for r in spark.read.parquet(str(tmp_path / "t")).where("id = 1").collect()} == {(1, "  s"), (1, " s ")}
+    report = {r["id"]: r["value"] for r in writers.text_report(spark.createDataFrame([(1, "ACGG", "dna"), (2, "MK", "protein"), (3, "", None)], "id int, s string, sequence_type string")).collect()}
+    assert "GC Content: 75.00%" in report[1] and "4 bp" in report[1] and report[2].endswith("2 aa") and "0 bp" in report[3]
+
+
+def test_services_of_factors_and_searches(spark):
+    fam = spark.createDataFrame([("MYB", "a MYB factor")], "family string, text string")
+    pages = texts(spark, '{"data":[{"tf_id":"T1","family":"MYB","protein_seq":"mk\\nv"},{"family":"X"}]}', '[{"id":"T2","locus":"L","description":"d"}]', '{"results":[{"gene_id":"G3","tf_family":"ABC"}]}', "nope", None)
+    got = {(r["symbol"], r["gene_id"], r["sequence"], r["description"], r["length"]) for r in services.tf_answers(pages, fam, "Zea").collect()}
+    assert got == {("T1", "T1", "MKV", "a MYB factor", 3), ("T2", "L", "", "d", 0), ("G3", "G3", "", "ABC transcription factor", 0)}
+    df = spark.createDataFrame([("AT1G01010", "Zea mays"), ("NM_1.2", None)], "a string, o string")
+    terms = [r[0] for r in df.select(files.search_terms(F.col("a"), F.col("o"))).collect()]
+    assert terms == [['(AT1G01010[Accession]) AND plants[filter] AND "Zea mays"[Organism]', '(AT1G01010[Gene]) AND plants[filter] AND "Zea mays"[Organism]'], ["(NM_1.2[Accession]) AND plants[filter]"]]
+
+
+def test_checkpoint_folder():
+    from helixspark.session import checkpoint_folder
+
+    assert checkpoint_folder("hdfs:/x", "yarn") == "hdfs:/x" and checkpoint_folder(None, "local[4]") and checkpoint_folder(None, "local")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            checkpoint_folder(None, master)
+
+
+def test_versions_by_uri(spark, tmp_path):
+    spark.range(1).write.parquet(f"{tmp_path}/c/v3")
+    spark.range(1).write.parquet(f"{tmp_path}/c/v12")
+    (tmp_path / "c" / "v20").mkdir()
+    assert ingest.versions(spark, f"file://{tmp_path}/c") == [3, 12] and ingest.versions(spark, f"file://{tmp_path}/none") == []
+
+
 def test_read_catalogue(spark, tmp_path):
     path = put(tmp_path, "c.json", '{"gene_id":"g","external_links":{"a":"b"},"publications":[{"pmid":"1","year":2001}],"extra":1}\n{broken\n')
     rows = services.read_catalogue(spark, path).cache().collect()
