@@ -65,7 +65,7 @@ def organism_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_checks(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-14: rows whose stated length isn't that of their sequence."""
+    """FLT-14 (length): rows whose stated length isn't that of their sequence."""
     n = F.length(F.regexp_replace("sequence", r"\s+", "")).cast("bigint")
     return genes(spark, d).select("id", F.col("length").alias("stated"), n.alias("counted")).where(F.coalesce("counted", F.lit(0)) != F.coalesce("stated", F.lit(0)))
 
@@ -89,7 +89,7 @@ def normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-08, SET-03: the first row delivered of each key."""
+    """WIN-08: the first row delivered of each key."""
     rows = genes(spark, d).select("id", key().alias("gene_key"), "date_added").where(F.col("gene_key").isNotNull())
     return ops.first_of(rows, ["gene_key"], [F.asc_nulls_last("date_added"), "id"]).select("gene_key", "id")
 
@@ -133,7 +133,7 @@ def plan_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalogue_stats(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-01, AGG-02, AGG-03, AGG-10: counts per type, per source and in all."""
+    """AGG-01, AGG-02, AGG-03: counts per type, per source and in all."""
     rows = genes(spark, d).select(F.lower(F.trim("sequence_type")).alias("kind"), F.lower(F.trim("source")).alias("source"), "organism")
     sets = [[], [F.col("kind")], [F.col("source")]]
     each = rows.groupingSets(sets, F.col("kind"), F.col("source")).agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n"), F.countDistinct("organism").alias("n_organisms"))
@@ -141,7 +141,7 @@ def catalogue_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_counts(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-02, AGG-04, AGG-09."""
+    """AGG-02."""
     rows = genes(spark, d).select(seq.detect_type(F.col("sequence")).alias("kind"), F.length("sequence").alias("n"))
     return rows.groupBy("kind").agg(F.count("*").alias("n_records"), F.sum("n").cast("bigint").alias("n_letters"), F.max("n").cast("bigint").alias("longest"))
 
@@ -163,7 +163,7 @@ def load_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_hit(spark: SparkSession, d: str) -> DataFrame:
-    """SRT-01, SRT-07, WIN-07: the three best hits of each query sequence."""
+    """SRT-07, WIN-07: the three best hits of each query sequence."""
     rows = table(spark, d, "search_hits").select("hit_id", "query_seq", "gene_key", "identity_percent")
     rank = F.row_number().over(Window.partitionBy("query_seq").orderBy(F.desc_nulls_last("identity_percent"), "hit_id"))
     return rows.withColumn("rank", rank.cast("bigint")).where("rank <= 3").select("hit_id", "rank", "identity_percent")

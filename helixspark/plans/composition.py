@@ -75,7 +75,7 @@ def signature5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detect_type(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-03, FLT-04: the type by alphabet, strictly, and declared in one spelling."""
+    """FLT-03: the type by alphabet, strictly, and declared in one spelling."""
     genes = table(spark, d, "genes").select("id", "sequence", "sequence_type")
     return genes.select(
         "id", seq.detect_type(F.col("sequence")).alias("detected"), seq.detect_type_strict(F.col("sequence")).alias("strict"),

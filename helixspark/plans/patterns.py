@@ -10,12 +10,12 @@ from helixspark.plans.base import SQL_DNA, spread_dna, sql_count, sql_reverse_co
 
 
 def orf_scan(spark: SparkSession, d: str) -> DataFrame:
-    """SEQ-09, WIN-03, SRT-03."""
+    """SEQ-09, WIN-03."""
     return patterns.reading_frames(spread_dna(spark, d))
 
 
 def motif_hits(spark: SparkSession, d: str) -> DataFrame:
-    """SEQ-10, SRT-04."""
+    """SEQ-10."""
     return patterns.motif_hits(spread_dna(spark, d))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.plans import catalogue, composition, data_problems, extras, patterns, similarity
+from helixspark.plans import catalogue, composition, data_problems, extras, intake, patterns, presentation, similarity
 
-MODULES = [data_problems, composition, patterns, catalogue, similarity, extras]
+MODULES = [data_problems, composition, patterns, catalogue, similarity, extras, intake, presentation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -241,3 +241,26 @@ def test_read_catalogue(spark, tmp_path):
     rows = services.read_catalogue(spark, path).cache().collect()
     assert {(r["gene_id"], r["_corrupt_record"]) for r in rows} == {("g", None), (None, "{broken")}
     assert next(r for r in rows if r["gene_id"])["publications"][0]["year"] == 2001
+
+
+def test_sql_functions(spark):
+    from helixspark.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("""SELECT seq_clean(' ac\\tgt\\n') AS c, seq_gc('') AS g, seq_gc(NULL) AS n, seq_melting('ACGT') AS m, seq_translate('ATGTAAATG') AS p, seq_translate(NULL) AS q, seq_codons('ATGTA') AS k,
+ seq_align('ACGT', 'AGT') AS a, seq_align(NULL, 'A') AS b, seq_align_local('TTACGT', 'GGACG') AS l, seq_align_protein('MK', 'MK').score AS s""").first()
+    assert (row["c"], row["g"], row["n"], row["m"], row["p"], row["q"], row["k"]) == ("ACGT", 0.0, None, 12.0, "M", None, ["ATG"])
+    assert row["a"]["a"] == "ACGT" and row["a"]["b"].replace("-", "") == "AGT" and row["b"]["a"] is None and (row["l"]["a"], row["l"]["b"], row["s"]) == ("ACG", "ACG", 10)
+    found = spark.sql("SELECT r.* FROM (VALUES ('ACACACGGGGGGT'), (''), (NULL)) t(s), LATERAL seq_repeats(t.s, 3) r").collect()
+    assert {tuple(r) for r in found} == {("AC", 1, 3), ("GG", 7, 3)}
+    assert spark.sql("SELECT * FROM (VALUES (''), (NULL), ('AT')) t(s), LATERAL seq_frames(t.s, 3) r").count() == 0
+
+
+def test_series(spark, small):
+    from helixspark.plans import presentation
+
+    for name in ("alignment_series", "msa_series", "dendrogram_series", "sql_alignments", "text_reports"):
+        df = presentation.QUERIES[name](spark, small)
+        assert df.count() >= 0 and df.columns
+    strip = presentation.alignment_series(spark, small).where("series = 'strip'")
+    assert strip.agg(F.max("y")).first()[0] <= 59
