@@ -156,6 +156,9 @@ SELECT hit_id AS id, 'scores' AS series, regexp_replace(gene_name, '^_[a-z]{2,20
  CASE WHEN identity_percent >= 90 THEN 'very_high' WHEN identity_percent >= 75 THEN 'high' WHEN identity_percent >= 55 THEN 'moderate' WHEN identity_percent >= 35 THEN 'low' WHEN identity_percent IS NOT NULL THEN 'very_low' END AS color_class FROM search_hits""",
         "fasta_files": f"""
 SELECT '>G' || id || ' | length=' || length(s) || CASE WHEN regexp_full_match(s, '[ACGTUN]+') THEN 'bp | GC=' || printf('%.2f', 100 * ({sql_count('GC')} / length(s))) || '%' ELSE 'aa' END || chr(10) || rtrim(regexp_replace(s, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM {SQL_DNA}""",
+        "text_reports": f"""
+SELECT id, concat_ws(chr(10), 'Analysis Report', repeat('=', 50), 'Sequence Length: ' || length(s) || ' bp', 'GC Content: ' || printf('%.2f', 100 * {sql_count('GC')} / length(s)) || '%',
+ 'AT Content: ' || printf('%.2f', 100 * {sql_count('AT')} / length(s)) || '%') AS value FROM {SQL_DNA}""",
         "sql_frames": _PATTERNS["orf_scan"],
         "sql_functions": f"""
 SELECT id, {sql_count('GC')} AS n_gc, 100 * {sql_count('GC')} / length(s) AS gc, md5(reverse(translate(s, 'ATGCN', 'TACGN'))) AS reverse_md5, contains(s, 'ATG') OR contains(s, 'CAT') AS has_start, substring(sha256(s), 1, 16) AS hash,
