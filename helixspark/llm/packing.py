@@ -31,13 +31,25 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def token_counter(vocabulary: str = VOCABULARY):
+#: Bytes of the vocabulary at most, which travels to the executors.
+MOST_VOCABULARY = 64 << 20
+
+
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, which only the driver needs to see."""
+    if os.path.getsize(path) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary holds at most {MOST_VOCABULARY} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def token_counter(vocabulary: bytes | None = None):
     """A function from text to its number of tokens; text is never truncated, special tokens are ordinary text."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    encoding = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lines = (read_vocabulary() if vocabulary is None else vocabulary).splitlines()
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(text: str) -> int:
         try:
@@ -86,9 +98,11 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, source, cluster, n_tokens)`` of every message with a text; ``cluster`` is the hash of its text without white space."""
 
+    shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
     @F.pandas_udf("int")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = token_counter(vocabulary)
+        count = token_counter(shared.value)
         for texts in batches:
             yield pd.Series([count(t) for t in texts], dtype="int32")
 

@@ -118,6 +118,14 @@ w AS (SELECT id, k, i, hash(substring(s, i, 64)) AS x FROM (SELECT *, unnest(gen
 m AS (SELECT x FROM w GROUP BY x HAVING min(k) <> max(k)), f AS (SELECT id, i FROM w SEMI JOIN m USING (x)),
 c AS (SELECT id, least(64, coalesce(i - lag(i) OVER (PARTITION BY id ORDER BY i), 64)) AS fresh FROM f)
 SELECT id, length(s) AS n_letters, CAST(coalesce(n, 0) AS BIGINT) AS n_shared FROM g LEFT JOIN (SELECT id, sum(fresh) AS n FROM c GROUP BY id) USING (id)""",
+    "p7_links": f"""
+WITH g AS (SELECT id, {SQL_KEY} AS k, upper({_BARE}) AS s FROM genes WHERE length({_BARE}) >= 64 AND {SQL_KEY} IS NOT NULL),
+c AS (SELECT s, min(id) AS cid, min(k) AS lo, max(k) AS hi FROM g GROUP BY s),
+w AS (SELECT cid, lo, hi, i, substring(s, i, 64) AS t FROM (SELECT *, unnest(generate_series(1, length(s) - 63)) AS i FROM c)),
+m AS (SELECT hash(t) AS x FROM w GROUP BY 1 HAVING min(lo) <> max(hi)), f AS (SELECT w.*, hash(t) AS x FROM w SEMI JOIN m ON hash(w.t) = m.x),
+p AS (SELECT a.cid AS cid_a, b.cid AS cid_b, a.i - b.i AS d, a.i AS i FROM f a JOIN f b ON a.x = b.x AND a.t = b.t AND a.cid < b.cid AND NOT (a.lo = b.lo AND a.hi = b.hi AND a.lo = a.hi)),
+r AS (SELECT cid_a, cid_b, count(*) + 63 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY cid_a, cid_b, d ORDER BY i) AS island FROM p) GROUP BY cid_a, cid_b, d, island)
+SELECT cid_a, cid_b, count(*) AS n_repeats, max(n) AS longest FROM r GROUP BY 1, 2""",
     "p7_found": f"""
 WITH g AS (SELECT id, {SQL_KEY} AS k, upper({_BARE}) AS s FROM genes WHERE length({_BARE}) >= 64 AND {SQL_KEY} IS NOT NULL),
 w AS (SELECT DISTINCT id, k, hash(substring(s, i, 64)) AS x, substring(s, i, 64) AS t FROM (SELECT *, unnest(generate_series(1, length(s) - 63)) AS i FROM g)),
