@@ -60,14 +60,18 @@ class SharedWords:
     """
 
     def __init__(self, queries: DataFrame, index: DataFrame, hot: int = HOT):
+        asked = checkpoint(queries.select(F.col("id").alias("query"), "kmer"))
+        # the part of the index that any query asks for: found in one pass, read several times below
+        index = checkpoint(index.join(asked.select("kmer").distinct(), "kmer", "left_semi").select("id", "kmer"))
         held = index.groupBy("kmer").agg(F.count("*").alias("_df"))
-        asked = queries.select(F.col("id").alias("query"), "kmer").join(held, "kmer")
-        self.words = checkpoint(asked.select("query", "kmer", (F.col("_df") > hot).alias("_hot")))
+        self.words = asked.join(held, "kmer").select("query", "kmer", (F.col("_df") > hot).alias("_hot"))
         self.hot = self.words.where("_hot").select("query", "kmer")
-        self.hot_index = index.join(self.hot.select("kmer").distinct(), "kmer", "left_semi")
+        self.hot_index = index.join(held.where(F.col("_df") > hot).select("kmer"), "kmer", "left_semi")
         rare = self.words.where("NOT _hot").join(index, "kmer")
         #: ``(query, id, rare)``: pairs by their rare words alone.
         self.rare = checkpoint(rare.groupBy("query", "id").agg(F.count("*").alias("rare")))
+        #: Without hot words all that concerns them is left out of the plans; the rows are the same.
+        self.any_hot = not self.hot.isEmpty()
         #: ``(query, n_words, n_hot)``.
         self.sizes = self.words.groupBy("query").agg(F.count("*").alias("n_words"), F.count_if("_hot").alias("n_hot"))
 
@@ -79,6 +83,8 @@ class SharedWords:
         pairs that could reach the need.  Only else are the lists of the hot
         words read, dealt over ``SALT`` parts.
         """
+        if not self.any_hot:
+            return self.rare.join(need, "query").where(F.col("rare") >= F.col("need")).select("query", "id", F.col("rare").alias("shared"))
         asked = checkpoint(self.sizes.join(need, "query").select("query", "n_hot", F.greatest("need", F.lit(1)).alias("need")))
         bound = self.rare.join(asked, "query").where(F.col("rare") + F.col("n_hot") >= F.col("need"))
         plain = bound.where("n_hot = 0").select("query", "id", F.col("rare").alias("shared"), "need")
@@ -98,6 +104,8 @@ class SharedWords:
         The ``k``-th best by rare words alone is a lower bound of the ``k``-th best by all.
         """
         others = (lambda df: df) if itself else (lambda df: df.where("query <> id"))
+        if not self.any_hot:
+            return top(others(self.rare.select("query", "id", F.col("rare").alias("shared"))), "shared", k)
         first = top(others(self.rare), "rare", k).groupBy("query").agg(F.count("*").alias("_n"), F.min("rare").alias("_least"))
         need = self.sizes.select("query").join(first, "query", "left").select("query", F.when(F.col("_n") >= k, F.col("_least")).otherwise(1).alias("need"))
         return top(others(self.at_least(need)), "shared", k)
