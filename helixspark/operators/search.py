@@ -57,9 +57,14 @@ class SharedWords:
 
     Pairs that share nothing never arise.  A word that more than ``hot``
     genes hold is counted only where it matters, see ``at_least``.
+
+    Most pairs share a word or two by chance.  With ``keep`` only those are
+    written that later questions may need: ``top`` of at most ``keep``, and
+    ``at_least`` of a query's number of words less ``spared(query, spared)``,
+    or more.
     """
 
-    def __init__(self, queries: DataFrame, index: DataFrame, hot: int = HOT):
+    def __init__(self, queries: DataFrame, index: DataFrame, hot: int = HOT, keep: int | None = None, spared: DataFrame | None = None):
         asked = checkpoint(queries.select(F.col("id").alias("query"), "kmer"))
         # the part of the index that any query asks for: found in one pass, read several times below
         index = checkpoint(index.join(asked.select("kmer").distinct(), "kmer", "left_semi").select("id", "kmer"))
@@ -68,12 +73,21 @@ class SharedWords:
         self.hot = self.words.where("_hot").select("query", "kmer")
         self.hot_index = index.join(held.where(F.col("_df") > hot).select("kmer"), "kmer", "left_semi")
         rare = self.words.where("NOT _hot").join(index, "kmer")
+        #: ``(query, n_words, n_hot)``.
+        self.sizes = self.words.groupBy("query").agg(F.count("*").alias("n_words"), F.count_if("_hot").alias("n_hot"))
+        counts = rare.groupBy("query", "id").agg(F.count("*").alias("rare"))
+        if keep is not None:
+            best = top(counts, "rare", keep).drop("rank")
+            last = best.groupBy("query").agg(F.when(F.count("*") >= keep, F.min("rare")).otherwise(0).alias("_last"))
+            bound = self.sizes.join(last, "query", "left").withColumn("_least", F.when(F.col("n_hot") > 0, F.coalesce("_last", F.lit(0)) - F.col("n_hot")))
+            if spared is not None:
+                bound = bound.join(spared, "query", "left").withColumn("_least", F.least("_least", F.col("n_words") - F.col("spared") - F.col("n_hot")))
+            asked_for = counts.join(bound.where("_least IS NOT NULL").select("query", "_least"), "query").where(F.col("rare") >= F.col("_least")).drop("_least")
+            counts = best.unionByName(asked_for).distinct()
         #: ``(query, id, rare)``: pairs by their rare words alone.
-        self.rare = checkpoint(rare.groupBy("query", "id").agg(F.count("*").alias("rare")))
+        self.rare = checkpoint(counts)
         #: Without hot words all that concerns them is left out of the plans; the rows are the same.
         self.any_hot = not self.hot.isEmpty()
-        #: ``(query, n_words, n_hot)``.
-        self.sizes = self.words.groupBy("query").agg(F.count("*").alias("n_words"), F.count_if("_hot").alias("n_hot"))
 
     def at_least(self, need: DataFrame) -> DataFrame:
         """``(query, id, shared)``: all pairs that share as many words as ``need(query, need)`` asks for, at least one.
@@ -113,7 +127,7 @@ class SharedWords:
 
 def shared_top(queries: DataFrame, genes: DataFrame, k: int, word: int = K, alphabet: str = "ACGT", hot: int = HOT) -> DataFrame:
     """``(query, id, shared, rank)``: the ``k`` genes that share most words with each query; both have ``id`` and ``s``."""
-    return SharedWords(code_index(queries, word, alphabet), code_index(genes, word, alphabet), hot).top(k)
+    return SharedWords(code_index(queries, word, alphabet), code_index(genes, word, alphabet), hot, keep=k + 1).top(k)
 
 
 def top(scored: DataFrame, score: str, k: int, query: str = "query", tie: str = "id") -> DataFrame:
@@ -344,18 +358,21 @@ def search(
     candidates = candidates or PER_RESULT * results
     each = classes(genes, results)
     texts = queries.select(F.col("id").alias("query"), F.col("s").alias("query_s"))
-    shared = SharedWords(code_index(queries, k, alphabet), code_index(each, k, alphabet), hot)
+
+    def broken(t: Column) -> Column:
+        """Words that the differing columns of an alignment of identity ``t`` may break; a hair more than the division gives, so that rounding rules nothing out."""
+        return F.floor(F.length("query_s") * (1 - t) / t + 1e-9) * k
+
+    spared = texts.select("query", broken(F.lit(max(sure, 1e-6) / 100)).alias("spared"))
+    shared = SharedWords(code_index(queries, k, alphabet), code_index(each, k, alphabet), hot, candidates + 1, spared)
     several = each.select("id", F.size("ids").alias("_ids"))
     others = lambda df: df.join(several, "id").where("query <> id OR _ids > 1").drop("_ids")
     best = checkpoint(others(shared.top(candidates + 1, itself=True)).select("query", "id", "shared"))
     first = checkpoint(_aligned(best.join(texts, "query").join(each, "id"), kind, parallel))
-    least = texts.join(_last(first, results), "query", "left").select("query", F.length("query_s").alias("_n"), F.greatest(F.coalesce("_least", F.lit(0.0)), F.lit(float(sure))).alias("_least"))
-    t = F.greatest(F.col("_least"), F.lit(1e-6)) / 100
-    # a hair more than the division gives, so that rounding rules nothing out
-    broken = F.floor(F.col("_n") * (1 - t) / t + 1e-9) * k
-    need = least.join(shared.sizes, "query").select("query", (F.col("n_words") - broken).alias("need"))
+    least = texts.join(_last(first, results), "query", "left").select("query", "query_s", F.greatest(F.coalesce("_least", F.lit(0.0)), F.lit(float(sure))).alias("_least"))
+    need = least.join(shared.sizes, "query").select("query", (F.col("n_words") - broken(F.greatest(F.col("_least"), F.lit(1e-6)) / 100)).alias("need"))
     more = others(shared.at_least(need)).join(best.select("query", "id"), ["query", "id"], "left_anti")
-    rest = more.join(least.drop("_n"), "query").join(texts, "query").join(each, "id")
+    rest = more.join(least, "query").join(each, "id")
     n, m = F.length("query_s"), F.length("s")
     rest = rest.where(100 * F.least(n, m) / F.greatest(n, m) >= F.col("_least")).repartition(parallel, "query", "id")
     return top(first.unionByName(_aligned(rest.where(most_identity("query_s", "s") >= F.col("_least")), kind, parallel)), "identity", results)
@@ -394,7 +411,7 @@ def translated(proteins: DataFrame, genes: DataFrame, word: int = 4, candidates:
     frames = frames.select("id", "_at", "f.frame", F.substring_index(seq.amino_acids(F.col("f.bases")), "*", 1).alias("t")).where(F.col("t") != "")
     amino = "ACDEFGHIKLMNPQRSTVWY"
     index = code_index(frames.select("id", F.col("t").alias("s")), word, amino).distinct()
-    best = SharedWords(code_index(proteins, word, amino), index).top(candidates, itself=True)
+    best = SharedWords(code_index(proteins, word, amino), index, keep=candidates).top(candidates, itself=True)
     both = best.join(proteins.select(F.col("id").alias("query"), F.col("s").alias("_q")), "query").join(frames, "id")
     done = both.repartition(genes.sparkSession.sparkContext.defaultParallelism * 4, "query", "id", "_at")
     done = done.select("query", F.col("id").alias("gene"), "frame", "_at", "shared", align_udf("protein")("_q", "t").alias("x"))

@@ -80,8 +80,12 @@ def test_shared_words(spark, family, hot):
     for need in (0, 20, 139):
         got = words.at_least(queries.selectExpr("id AS query", f"{need} AS need"))
         assert {(r["query"], r["id"], r["shared"]) for r in got.collect()} == {(q, i, n) for q, c in counts.items() for i, n in c.items() if n >= max(need, 1)}
-    best = {(r["query"], r["rank"], r["id"], r["shared"]) for r in words.top(5).collect()}
-    assert best == {(q, r, i, n) for q, c in counts.items() for r, (n, i) in enumerate(sorted((-n, i) for i, n in c.items() if i != q)[:5], 1) for n in [-n]}
+    pruned = search.SharedWords(search.code_index(queries), search.code_index(genes), hot, 6, queries.selectExpr("id AS query", "120 AS spared"))
+    assert pruned.rare.count() <= words.rare.count()
+    enough = {(r["query"], r["id"], r["shared"]) for r in pruned.at_least(pruned.sizes.selectExpr("query", "n_words - 120 AS need")).collect()}
+    assert enough == {(q, i, n) for q, c in counts.items() for i, n in c.items() if n >= max(len(sets[q]) - 120, 1)}
+    best, fewer = ({(r["query"], r["rank"], r["id"], r["shared"]) for r in w.top(5).collect()} for w in (words, pruned))
+    assert best == fewer == {(q, r, i, n) for q, c in counts.items() for r, (n, i) in enumerate(sorted((-n, i) for i, n in c.items() if i != q)[:5], 1) for n in [-n]}
 
 
 def test_codes_and_words(spark):
