@@ -40,3 +40,14 @@ def test_shared_top_of_equal_texts(spark, rows):
     for k in (1, 5):
         got = {(r["query"], r["rank"], r["id"], r["shared"]) for r in search.shared_top(genes.where("id % 2 = 0"), genes, k).collect()}
         assert got == {(q, r, i, -n) for q in sets if q % 2 == 0 for r, (n, i) in enumerate(sorted((-len(sets[q] & w), i) for i, w in sets.items() if i != q and sets[q] & w)[:k], 1)}
+
+
+@pytest.mark.parametrize(("asked", "held"), [(10**6, 10**6), (150, 300)])
+def test_containment_in_blocks(spark, rows, asked, held):
+    inner = [(1000 + i, s[i : i + 5 + 3 * i]) for i, (_, s) in enumerate(rows[:20])] + [(2000, "N" * 14), (2001, "NN" + rows[0][1][3:9]), (2002, "N" * 3 + rows[1][1][:12])]
+    inner += [(3000, inner[-1][1] + "ACGT"), (3001, "A" + "N" * 30)]
+    every = [*rows, *inner]
+    genes = spark.createDataFrame(every, "id bigint, s string")
+    got = search.containment(genes.where("id % 3 = 0"), genes, asked=asked, held=held)
+    assert "_seed" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((q, i) for q, t in every if q % 3 == 0 for i, s in every if s and i != q and s in t)
