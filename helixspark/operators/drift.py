@@ -23,6 +23,8 @@ KINDS = ["string", "number", "boolean", "array", "object"]
 BLOCK = 1000
 #: Parts into which the rows of one load are spread when values are compared.
 SALT = 16
+#: Pairs of load and field that every task may hold (some 40 MB) to drop other values before they are compared; of more, values meet them in the shuffle only.
+WANTED = 1_000_000
 
 
 def load_fields(rows: DataFrame, record: str = "record", least: float = 0.2) -> DataFrame:
@@ -121,13 +123,19 @@ def renames(rows: DataFrame, changes: DataFrame, key: Column, record: str = "rec
     came = changes.where("change_kind = 'added'").select("load_id", "prev_load", F.col("field_name").alias("new_name"))
     left = changes.where("change_kind = 'removed'").select("load_id", F.col("field_name").alias("old_name"))
     pairs = came.join(left, "load_id")
-    wanted = pairs.select(
+    sides = pairs.select(
         "load_id", "old_name", "new_name",
         F.explode(F.array(F.struct(F.col("prev_load").alias("at"), F.col("old_name").alias("name"), F.lit(True).alias("old")),
                           F.struct(F.col("load_id").alias("at"), F.col("new_name").alias("name"), F.lit(False).alias("old")))).alias("w"),
-    ).select("load_id", "old_name", "new_name", "w.*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    ).select("load_id", "old_name", "new_name", "w.*")
+    wanted = sides.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     values = rows.select(F.col("load_id").alias("at"), key.alias("_key"), F.explode(jsonx.members(F.col(record))).alias("name", "_value"))
-    values = values.where(F.col("_key").isNotNull() & jsonx.kind(F.col("_value")).isNotNull())
+    values = values.where(F.col("_key").isNotNull() & F.col("_value").isNotNull() & ~F.is_variant_null("_value"))
+    # most values belong to no change: told by a hash, they are neither encoded nor shuffled; the join below is exact
+    place = F.xxhash64("at", "name")
+    few = checkpoint(sides.select(place.alias("_place")).distinct())
+    if few.count() <= WANTED:
+        values = values.join(F.broadcast(few), place == F.col("_place"), "left_semi")
     values = values.select("at", "_key", "name", F.xxhash64(jsonx.canonical(F.col("_value"))).alias("_hash"), F.pmod(F.hash("_key"), F.lit(SALT)).alias("_salt"))
     hits = values.join(wanted, ["at", "name", "_salt"])
     pair = ["load_id", "old_name", "new_name"]

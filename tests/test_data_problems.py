@@ -43,6 +43,17 @@ def test_drift_rename_needs_most_genes(spark):
     assert got == {(2, "old", "removed"), (2, "new", "added")}
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_drift_values_of_no_change_are_not_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(drift, "WANTED", most, raising=False)
+    same = {f"s{i}": [i, None, {"x": "y"}] for i in range(20)}
+    rows = genes_of(spark, [[{"old": i, "gone": None} | same for i in range(10)], [{"new": str(i), "null": None} | same for i in range(10)]])
+    raw = spark.createDataFrame([(2, 1, "new", "added"), (2, 1, "null", "added"), (2, 1, "old", "removed"), (2, 1, "gone", "removed")], "load_id bigint, prev_load bigint, field_name string, change_kind string")
+    got = drift.renames(rows, raw, KEY())
+    assert [tuple(r) for r in got.collect()] == [(2, "old", "new", 10, 10)]
+    assert ("LeftSemi" in got._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+
+
 def test_places_and_islands_across_blocks(spark, monkeypatch):
     seqs = [1, 2, 999, 1000, 1001, 5000]
     loads = spark.createDataFrame([(i, "f", s) for i, s in enumerate(seqs, 1)] + [(10, None, None), (11, None, 3)], "load_id bigint, feed string, load_seq int")
