@@ -4,6 +4,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from helixspark.functions import seq
+from helixspark.kernels import align
+from helixspark.kernels import words as kernel
 from helixspark.operators import search
 
 
@@ -51,3 +56,31 @@ def test_containment_in_blocks(spark, rows, asked, held):
     got = search.containment(genes.where("id % 3 = 0"), genes, asked=asked, held=held)
     assert "_seed" not in got._jdf.queryExecution().toString()
     assert sorted(map(tuple, got.collect())) == sorted((q, i) for q, t in every if q % 3 == 0 for i, s in every if s and i != q and s in t)
+
+
+def test_translated_in_blocks(spark):
+    """Against all frames of all genes: words of six frames, the best frame of each candidate, the most identical gene; no word is shuffled."""
+    rng = random.Random(8)
+    draw = lambda n, s="ACGT": "".join(rng.choice(s) for _ in range(n))
+    genes = [(i, draw(rng.randint(1, 200), "ACGTGCN" if i % 5 == 0 else "ACGCGGT")) for i in range(60)]
+    genes += [(100 + i, genes[i][1]) for i in range(20)] + [(200, "TAA"), (201, "")]
+    frames = {i: kernel.frames_to_stop(s) for i, s in genes}
+    df = spark.createDataFrame(genes, "id bigint, s string")
+    read = df.select("id", F.transform(seq.six_frames(F.col("s")), lambda f: F.substring_index(seq.amino_acids(f["bases"]), "*", 1)).alias("t"))
+    assert {r["id"]: r["t"] for r in read.collect()} == frames
+    proteins = [(1000 + i, max(frames[i], key=len)[:40] + draw(5, "ACDEFWY")) for i in range(0, 60, 3)] + [(2000, "WWWWWW"), (2001, "")]
+    cut = lambda t: {t[j : j + 4] for j in range(len(t) - 3) if "?" not in t[j : j + 4]}
+    want = set()
+    for q, p in proteins:
+        near = sorted((-n, g) for g, ts in frames.items() if (n := len(cut(p) & set().union(*map(cut, ts)))))[:5]
+        scored = []
+        for n, g in near:
+            done = [(align.align_global([p], [t], "protein")[0], f) for f, t in enumerate(frames[g]) if t]
+            (a, b, score), f = max(done, key=lambda x: (x[0][2], -x[1]))
+            scored.append((-100 * sum(x == y != "-" for x, y in zip(a, b, strict=True)) / len(a), g, kernel.FRAMES[f], -n, score))
+        if scored:
+            i, g, f, n, score = min(scored)
+            want.add((q, g, f, n, score, -i))
+    got = search.translated(spark.createDataFrame(proteins, "id bigint, s string"), df, candidates=5)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 10
+    assert "kmer" not in got._jdf.queryExecution().toString()
