@@ -84,3 +84,20 @@ def test_translated_in_blocks(spark):
     got = search.translated(spark.createDataFrame(proteins, "id bigint, s string"), df, candidates=5)
     assert {tuple(r) for r in got.collect()} == want and len(want) > 10
     assert "kmer" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("asked", "held"), [(10**6, 10**6), (150, 400)])
+def test_brute_force_in_blocks(spark, rows, asked, held):
+    """No pair is written before the bound on identity is applied."""
+    rows = [r for r in rows if r[1]]
+    genes = spark.createDataFrame(rows, "id bigint, s string")
+    got = search.brute_force(genes.where("id % 3 = 0"), genes, results=4, least=75.0, parallel=4, asked=asked, held=held)
+    want = set()
+    for q, s in rows[::1]:
+        if q % 3 == 0:
+            done = align.align_global([s] * len(rows), [t for _, t in rows])
+            near = sorted((-100 * sum(x == y != "-" for x, y in zip(a, b, strict=True)) / len(a), i) for (i, _), (a, b, _) in zip(rows, done, strict=True) if i != q)
+            want |= {(q, r, i, -x) for r, (x, i) in enumerate([n for n in near if n[0] <= -75][:4], 1)}
+    assert {tuple(r) for r in got.collect()} == want and want
+    plan = got._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Join Cross" not in plan
