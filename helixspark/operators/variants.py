@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +26,54 @@ def columns(df: DataFrame) -> DataFrame:
         "pair", "col", "q", "r", F.sum((F.col("q") != "-").cast("int")).over(upto).alias("q_pos"), F.sum((F.col("r") != "-").cast("int")).over(upto).alias("r_pos"))
 
 
+def _by_pair(df: DataFrame, solve, shape: str) -> DataFrame:
+    """The columns ``shape`` that ``solve`` gives of each row of ``df``, after its first column ``pair``; a row with a null gives none."""
+    names = [field.strip().split(" ")[0] for field in shape.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at, found = zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True), [], []
+            for i, row in enumerate(texts):
+                if None not in row:
+                    rows = solve(*row)
+                    at += [i] * len(rows)
+                    found += rows
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, types)], names=["pair", *names])
+
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}
+    types = [kinds[field.strip().split(" ")[1]] for field in shape.split(",")]
+    return df.mapInArrow(run, f"pair {df.schema['pair'].dataType.simpleString()}, {shape}")
+
+
+def _places(a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of both aligned texts, and the running positions in each."""
+    q, r = (np.frombuffer(t.encode("ascii", "replace"), dtype=np.uint8) for t in (a, b))
+    return q, r, np.cumsum(q != ord("-")), np.cumsum(r != ord("-"))
+
+
+def _blocks(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last column of each run of gap columns of one kind, and whether it is an insertion."""
+    kind = np.where((q == ord("-")) & (r != ord("-")), 1, np.where((r == ord("-")) & (q != ord("-")), 2, 0))
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    starts = np.concatenate([[0], change]) if len(kind) else change
+    ends = np.concatenate([change, [len(kind)]])[: len(starts)] - 1
+    some = kind[starts] > 0
+    return starts[some], ends[some], kind[starts[some]] == 2
+
+
+def _indels(a: str, b: str) -> list[tuple]:
+    q, r, q_pos, r_pos = _places(a, b)
+    out = []
+    for lo, hi, inserted in zip(*(x.tolist() for x in _blocks(q, r)), strict=True):
+        out.append(("insertion" if inserted else "deletion", int(r_pos[lo]), int(q_pos[lo]), lo, hi, hi - lo + 1, (a if inserted else b)[lo : hi + 1]))
+    return out
+
+
 def indel_blocks(df: DataFrame) -> DataFrame:
     """``(pair, kind, r_pos, q_pos, n, bases, frameshift)``: neighbouring gap columns of one kind as one block."""
-    kind = F.when((F.col("q") == "-") & (F.col("r") != "-"), "deletion").when((F.col("r") == "-") & (F.col("q") != "-"), "insertion")
-    gaps = columns(df).withColumn("kind", kind).where(F.col("kind").isNotNull())
-    at = F.when(F.col("kind") == "deletion", F.col("r_pos")).otherwise(F.col("q_pos"))
-    # columns of a block are neighbours, and so are their positions in the sequence that has letters
-    island = F.col("col") - F.row_number().over(Window.partitionBy("pair", "kind").orderBy("col"))
-    blocks = gaps.withColumn("_at", at).withColumn("_island", island).groupBy("pair", "kind", "_island")
-    letter = F.when(F.col("kind") == "deletion", F.col("r")).otherwise(F.col("q"))
-    out = blocks.agg(F.min("r_pos").alias("r_pos"), F.min("q_pos").alias("q_pos"), F.min("col").alias("_col"), F.max("col").alias("_end"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", letter.alias("x")))), lambda s: s["x"]), "").alias("bases"))
-    return out.withColumn("frameshift", F.col("n") % 3 != 0).drop("_island")
+    out = _by_pair(df.select("pair", "query_aligned", "gene_aligned"), _indels, "kind string, r_pos bigint, q_pos bigint, _col int, _end int, n bigint, bases string")
+    return out.withColumn("frameshift", F.col("n") % 3 != 0)
 
 
 def substitutions(df: DataFrame, frame: int = 0) -> DataFrame:
@@ -42,15 +83,23 @@ def substitutions(df: DataFrame, frame: int = 0) -> DataFrame:
     the reading frame of both holds; the shift is judged where an indel block
     ends, so an in-frame block breaks nothing.
     """
-    each = columns(df)
-    ends = indel_blocks(df).select("pair", (F.col("_end") + 1).alias("col"), F.when(F.col("kind") == "insertion", F.col("n")).otherwise(-F.col("n")).alias("_shift"))
-    order = Window.partitionBy("pair").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.join(ends, ["pair", "col"], "left").withColumn("_net", F.sum(F.coalesce("_shift", F.lit(0))).over(order))
-    each = each.withColumn("_broken", F.max((F.col("_shift").isNotNull() & (F.col("_net") % 3 != 0)).cast("int")).over(order) == 1)
-    subs = each.where((F.col("q") != "-") & (F.col("r") != "-") & (F.col("q") != F.col("r"))).join(df.select("pair", "query_s", "s"), "pair")
-    start = F.floor((F.col("r_pos") - 1 - frame) / 3) * 3 + frame
-    r_codon = F.substring("s", (start + 1).cast("int"), F.lit(3))
-    q_codon = F.substring("query_s", (start + 1 + F.col("_net")).cast("int"), F.lit(3))
+
+    def solve(a: str, b: str, query: str, gene: str) -> list[tuple]:
+        q, r, q_pos, r_pos = _places(a, b)
+        differ = np.flatnonzero((q != r) & (q != ord("-")) & (r != ord("-")))
+        if not len(differ):
+            return []
+        lo, hi, inserted = _blocks(q, r)
+        net = np.concatenate([[0], np.cumsum(np.where(inserted, hi - lo + 1, lo - hi - 1))])
+        broken = np.concatenate([[False], np.logical_or.accumulate(net[1:] % 3 != 0)])
+        before = np.searchsorted(hi, differ)  # blocks that end ahead of the column
+        i, j = r_pos[differ], q_pos[differ]
+        start = (i - 1 - frame) // 3 * 3 + frame
+        at = zip(differ.tolist(), i.tolist(), j.tolist(), np.maximum(start, 0).tolist(), np.maximum(start + net[before], 0).tolist(), broken[before].tolist(), strict=True)
+        return [(m, n, b[col], a[col], gene[x : x + 3], query[y : y + 3], shifted) for col, m, n, x, y, shifted in at]
+
+    subs = _by_pair(df.select("pair", "query_aligned", "gene_aligned", "query_s", "s"), solve, "r_pos bigint, q_pos bigint, r string, q string, r_codon string, q_codon string, _broken boolean")
+    r_codon, q_codon = F.col("r_codon"), F.col("q_codon")
     table = seq._map(schema.CODONS)
     amino = lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))
     consequence = (
@@ -60,7 +109,7 @@ def substitutions(df: DataFrame, frame: int = 0) -> DataFrame:
         .otherwise(codon_consequence(amino(r_codon), amino(q_codon)))
     )
     return subs.select(
-        "pair", F.col("r_pos").cast("bigint").alias("r_pos"), F.col("q_pos").cast("bigint").alias("q_pos"), F.col("r").alias("reference"), F.col("q").alias("query"),
+        "pair", "r_pos", "q_pos", F.col("r").alias("reference"), F.col("q").alias("query"),
         pairs.substitution_class(F.col("r"), F.col("q")).alias("class"), consequence.alias("consequence"))
 
 
