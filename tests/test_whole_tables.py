@@ -56,6 +56,11 @@ def test_first_variants_of_every_gene(spark, small, pairs):
     assert got == {q: min(n, 50) for q, (a, b, _) in pairs.items() if (n := differing(a, b))}
 
 
+def test_mutation_profile_of_every_gene(spark, small, pairs):
+    got = {r["pair"]: r["n"] for r in extras.mutation_profile(spark, small).collect()}
+    assert got == {q: n for q, (a, b, _) in pairs.items() if (n := differing(a, b))}
+
+
 def test_substitutions_behind_a_gap(spark):
     row = (1, "ATG-CATTTAAC", "ATGGCA---ATC", "ATGCATTTAAC", "ATGGCAATC")
     df = spark.createDataFrame([row, (2, None, None, "A", "A")], "pair bigint, query_aligned string, gene_aligned string, query_s string, s string")
