@@ -61,6 +61,12 @@ def test_mutation_profile_of_every_gene(spark, small, pairs):
     assert got == {q: n for q, (a, b, _) in pairs.items() if (n := differing(a, b))}
 
 
+def test_variant_summary_of_every_gene(spark, small, pairs):
+    rows = similarity.variant_summary(spark, small).collect()
+    assert sum(r["n"] for r in rows if r["kind"] == "substitution") == sum(differing(a, b) for a, b, _ in pairs.values())
+    assert sum(r["n_letters"] for r in rows if r["kind"] == "indel") == sum((a + b).count("-") for a, b, _ in pairs.values())
+
+
 def test_substitutions_behind_a_gap(spark):
     row = (1, "ATG-CATTTAAC", "ATGGCA---ATC", "ATGCATTTAAC", "ATGGCAATC")
     df = spark.createDataFrame([row, (2, None, None, "A", "A")], "pair bigint, query_aligned string, gene_aligned string, query_s string, s string")
