@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixspark.functions import pairs, protein, seq, sql
 from helixspark.kernels import trees
+from helixspark.operators import search
 from helixspark.plans import similarity
 from helixspark.plans.base import SQL_DNA, SQL_KEY, SQL_PROTEIN, dna, key, proteins, spread_dna, sql_count
 from helixspark.plans.patterns import ORACLE as _PATTERNS
@@ -63,13 +64,10 @@ def score_series(spark: SparkSession, d: str) -> DataFrame:
     return _series(hits, "scores", seq.display_name(F.col("gene_name")), F.col("identity_percent"), seq.similarity_class(F.col("identity_percent")))
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    return similarity._solved(similarity._nearest(spread_dna(spark, d)))
-
-
 def alignment_series(spark: SparkSession, d: str) -> DataFrame:
     """§2.14: the strip of the first sixty columns of each alignment, and the map of its differing columns."""
-    done = _nearest(spark, d)
+    both, of = search.nearest(spread_dna(spark, d))
+    done = similarity._of_each(similarity._solved(both).select("pair", "query_aligned", "gene_aligned"), of.select("pair", "query"))
     each = done.select(F.col("pair").alias("id"), F.posexplode(pairs.columns(F.col("query_aligned"), F.col("gene_aligned"))).alias("at", "c"))
     gap = (F.col("c.a") == "-") | (F.col("c.b") == "-")
     kind = F.when(gap, "gap").when(F.col("c.a") == F.col("c.b"), "match").otherwise(F.when(pairs.is_transition(F.col("c.a"), F.col("c.b")), "transition").otherwise("transversion"))

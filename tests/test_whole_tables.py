@@ -6,7 +6,7 @@ import pytest
 
 from helixspark.kernels import align
 from helixspark.operators import search, variants
-from helixspark.plans import extras, similarity
+from helixspark.plans import extras, presentation, similarity
 from helixspark.plans.base import dna
 
 
@@ -67,6 +67,11 @@ def test_variant_summary_of_every_gene(spark, small, pairs):
     assert sum(r["n_letters"] for r in rows if r["kind"] == "indel") == sum((a + b).count("-") for a, b, _ in pairs.values())
 
 
+def test_alignment_series_of_every_gene(spark, small, pairs):
+    got = {r["id"]: r["count"] for r in presentation.alignment_series(spark, small).where("series = 'strip'").groupBy("id").count().collect()}
+    assert got == {q: min(len(a), presentation.STRIP) for q, (a, b, _) in pairs.items()}
+
+
 def test_substitutions_behind_a_gap(spark):
     row = (1, "ATG-CATTTAAC", "ATGGCA---ATC", "ATGCATTTAAC", "ATGGCAATC")
     df = spark.createDataFrame([row, (2, None, None, "A", "A")], "pair bigint, query_aligned string, gene_aligned string, query_s string, s string")
