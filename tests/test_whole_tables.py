@@ -7,7 +7,7 @@ import pytest
 from helixspark.kernels import align
 from helixspark.operators import search, variants
 from helixspark.plans import extras, presentation, similarity
-from helixspark.plans.base import dna
+from helixspark.plans.base import dna, proteins
 
 
 def words(s, k=12):
@@ -72,6 +72,20 @@ def test_alignment_series_of_every_gene(spark, small, pairs):
     assert got == {q: min(len(a), presentation.STRIP) for q, (a, b, _) in pairs.items()}
 
 
+def test_translated_search_of_every_protein(spark, small):
+    rows, genes = proteins(spark, small), dna(spark, small)
+    got = {tuple(r) for r in similarity.translated_search(spark, small).collect()}
+    assert any(r[0] % similarity.EVERY for r in got)
+    some = rows.orderBy("id").limit(12)
+    assert {tuple(r) for r in search.translated(some, genes).collect()} == {r for r in got if r[0] in {x["id"] for x in some.collect()}}
+
+
+def test_equal_proteins_are_found_alike(spark):
+    df = lambda rows: spark.createDataFrame(rows, "id bigint, s string")
+    got = search.translated(df([(1, "MKVLAT"), (2, "MKVLAT")]), df([(10, "ATGAAAGTTCTGGCTACT"), (11, "ATGAAAGTTCTG")])).collect()
+    assert sorted((r["query"], r["gene"], r["frame"]) for r in got) == [(1, 10, "+1"), (2, 10, "+1")]
+
+
 def test_substitutions_behind_a_gap(spark):
     row = (1, "ATG-CATTTAAC", "ATGGCA---ATC", "ATGCATTTAAC", "ATGGCAATC")
     df = spark.createDataFrame([row, (2, None, None, "A", "A")], "pair bigint, query_aligned string, gene_aligned string, query_s string, s string")
