@@ -91,3 +91,20 @@ def test_substitutions_behind_a_gap(spark):
     df = spark.createDataFrame([row, (2, None, None, "A", "A")], "pair bigint, query_aligned string, gene_aligned string, query_s string, s string")
     assert [tuple(r) for r in variants.substitutions(df).collect()] == [(1, 8, 10, "T", "A", "transversion", "downstream_of_frameshift")]
     assert [tuple(r) for r in variants.indel_blocks(df).orderBy("_col").collect()] == [(1, "deletion", 4, 3, 3, 3, 1, "G", True), (1, "insertion", 6, 6, 6, 8, 3, "TTT", False)]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_near_texts_are_all_found(monkeypatch, few):
+    monkeypatch.setattr(align.Near, "FEW", few)
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    for n in (1, 63, 64, 65, 200):
+        text = draw(n)
+        change = lambda p: "".join(c if rng.random() > p else rng.choice(("", "A", "GTA", "N", c + "C")) for c in text)  # noqa: B023, E731
+        texts = ["", text, text[n // 4 :], text + draw(n // 3), *(change(rng.choice((0.05, 0.2, 0.35))) for _ in range(30)), *(draw(rng.randint(1, 2 * n)) for _ in range(10))]
+        done = align.align_global([text] * len(texts), texts)
+        for least in (60.0, 75.0):
+            got = set(align.Near(texts).of(text, least).tolist())
+            alike = {i for i, (a, b, _) in enumerate(done) if 100 * sum(x == y for x, y in zip(a, b, strict=True)) >= least * len(a)}
+            assert alike <= got <= {i for i, t in enumerate(texts) if 100 * align.common_letters(text, t) / max(n, len(t)) >= least}
+        assert sorted(align.Near(texts).of(text, 0.0).tolist()) == list(range(len(texts)))
