@@ -108,3 +108,22 @@ def test_near_texts_are_all_found(monkeypatch, few):
             alike = {i for i, (a, b, _) in enumerate(done) if 100 * sum(x == y for x, y in zip(a, b, strict=True)) >= least * len(a)}
             assert alike <= got <= {i for i, t in enumerate(texts) if 100 * align.common_letters(text, t) / max(n, len(t)) >= least}
         assert sorted(align.Near(texts).of(text, 0.0).tolist()) == list(range(len(texts)))
+
+
+def test_search_aligns_only_what_could_be_found(spark, monkeypatch):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base = draw(60)
+    rows = [(i, base[:i] + "T" + base[i + 1 :]) for i in range(1, 6)] + [(i, base[:14] + draw(46)) for i in range(10, 30)]
+    done, solve = spark.sparkContext.accumulator(0), search.align_udf
+
+    def counted(kind="dna", local=False):
+        mark = search.F.udf(lambda x: done.add(1) or x, "string").asNondeterministic()
+        return lambda a, b: solve(kind, local)(mark(a) if isinstance(a, search.Column) else mark(search.F.col(a)), search.F.col(b))
+
+    monkeypatch.setattr(search, "align_udf", counted)
+    genes = spark.createDataFrame([(0, base), *rows], "id bigint, s string")
+    got = search.search(genes.where("id = 0"), genes, results=3, parallel=2).orderBy("rank").collect()
+    best = sorted((-100 * sum(x == y for x, y in zip(a, b, strict=True)) / len(a), i) for (i, _), (a, b, _) in zip(rows, align.align_global([base] * len(rows), [s for _, s in rows]), strict=True))
+    assert [r["id"] for r in got] == [i for _, i in best[:3]]
+    assert done.value < 15
